@@ -33,4 +33,24 @@ reach(x, y) as (select doc_id, doc_id from sets union select reach.x, links.y fr
 select doc_id, len(s)::bigint n_shingles, component_id from sets join (select x doc_id, min(y) component_id from reach group by x) using (doc_id)
 """
 
-ORACLES = {"op3_decontamination": _OP3, "op5_jaccard_join": _OP5}
+_OP8 = r"""
+with docs as (select doc_id, string_split(text, chr(10)) ls from documents where doc_id is not null and text is not null),
+raw as (select doc_id, unnest(ls) x, unnest(range(len(ls))) line from docs),
+full_lines as (select doc_id, x, line, len(regexp_extract_all(x, '[^\x20\x09-\x0D]+')) n, row_number() over (partition by doc_id order by line) pos
+  from raw where regexp_matches(x, '[^\x20\x09-\x0D]')),
+sums as (select *, sum(n) over (partition by doc_id order by pos) e, sum(n) over (partition by doc_id order by pos) - n b from full_lines),
+spans as (
+  select doc_id, pos p, (select min(s.pos) from sums s where s.doc_id = t.doc_id and s.pos >= t.pos and s.e - t.b >= 50) q from sums t
+  union select doc_id, (select max(s.pos) from sums s where s.doc_id = t.doc_id and s.pos <= t.pos and t.e - s.b >= 50) p, pos q from sums t),
+runs as (select s.doc_id, p, q, string_agg(x, chr(10) order by pos) txt, min(line) top, max(line) bottom
+  from spans s join full_lines f on f.doc_id = s.doc_id and pos between p and q where p is not null and q is not null group by all),
+firsts as (select txt, min((doc_id, p)) f from runs group by txt),
+gone as (select distinct doc_id, unnest(range(top, bottom + 1)) line from runs join firsts using (txt) where (doc_id, p) > f),
+kept as (select doc_id, string_agg(x, chr(10) order by line) txt from raw where (doc_id, line) not in (select (doc_id, line) from gone) group by doc_id),
+count_gone as (select doc_id, count(*) n from gone group by doc_id)
+select d.doc_id, case when g.n is null then d.text else coalesce(k.txt, '') end as text,
+  coalesce(len(string_split(d.text, chr(10))), 0)::bigint n_lines, coalesce(g.n, 0)::bigint n_removed
+from documents d left join kept k using (doc_id) left join count_gone g using (doc_id)
+"""
+
+ORACLES = {"op8_line_dedup": _OP8, "op3_decontamination": _OP3, "op5_jaccard_join": _OP5}

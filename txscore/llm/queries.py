@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from txscore.llm import decontaminate, jaccard
+from txscore.llm import decontaminate, jaccard, line_dedup
 from txscore.llm._common import reader
 from txscore.llm.oracles import ORACLES
 
@@ -20,9 +20,14 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(reader(spark, sf_dir, "documents"), 3, 90).drop("n_links")
 
 
+def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.dedup_lines(reader(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op8_line_dedup": op8_line_dedup,
 }
 
 
