@@ -6,10 +6,11 @@ among the first few of both, so each set sends only this prefix to the shuffle o
 tested by length, by the place of the shared shingle and by the spread of the remaining hashes. A pair that passes is
 verified once, on whole sets.
 
-Equal sets are one class and are joined as one. In a shingle's bucket a set isn't paired with all others: it is paired
-with the bucket's hub and with its few neighbours in size. Links between those are verified and their components built;
-after that only sets of different components in a bucket are paired, each against the bucket's largest component. So
-a group of n near copies costs about n pairs, and still no link between components is lost.
+Equal sets are one class and are joined as one. In a large bucket of a shingle a set isn't paired with all others, but
+with the first that passes of the bucket's hub, its smallest set so far, and of the few sets before. Links
+between those are verified and their components built. Rounds of likely pairs between components follow, and after them
+all pairs of different components that share a bucket, each set against the bucket's largest component. So a group of n
+near copies costs far fewer than n * n pairs, and still no link between components is lost.
 
 Defined results: a text with fewer words than a shingle has is one shingle of them all; an empty or null text has the
 empty set, is linked with nothing and is its own component. Rows with the same text are one class. A row without a
@@ -20,12 +21,14 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import deque
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from txscore.llm._common import as_bytes, materialize, small_batches
@@ -35,9 +38,11 @@ from txscore.llm.components import connected_components
 SKETCH_BITS = 18
 #: log2 of the bits of the filter of wanted documents.
 FILTER_BITS = 23
-#: Neighbours in size that a set is paired with, besides its hub.
-NEAR = 4
-_CELLS = 8
+#: The first so many sets of a bucket are all paired; later ones with the hub only, at first.
+SMALL = 6
+#: Before all pairs between components are tested, so many rounds test a few likely ones of each set, which join most components.
+ROUNDS, TRIES, RECENT = 4, 3, 12
+_CELLS = 16
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
@@ -130,7 +135,7 @@ def _prefixes(n: int, limit: Threshold, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, rare, seen = _Words(), counts.value, set()
         for batch in batches:
-            out: list[list[np.ndarray]] = [[], [], [], [], [], []]
+            out: list[list[np.ndarray]] = [[] for _ in range(7)]
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 h = shingle_hashes(text, n, words)
                 if doc is None or not len(h):
@@ -143,31 +148,42 @@ def _prefixes(n: int, limit: Threshold, counts):
                 seen.add(sig)
                 keep = limit.prefix(len(h))
                 chosen = np.lexsort((h, rare[(h >> _U(64 - SKETCH_BITS)).astype(np.int64)]))[:keep]
-                cells = np.minimum(np.bincount((h & _U(_CELLS - 1)).astype(np.int64), minlength=_CELLS), 255).astype(np.uint8)
-                for x, v in zip(out, (h[chosen].view(np.int64), np.full(keep, sig[0]), np.full(keep, sig[1]), np.full(keep, len(h)), np.arange(keep), np.full(keep, cells.view(np.int64)[0])), strict=True):
+                own = (h & _U(_CELLS - 1)).astype(np.int64)
+                after = np.bincount(own, minlength=_CELLS) - np.cumsum(np.eye(_CELLS, dtype=np.int64)[own[chosen]], 0)
+                cells = np.ascontiguousarray(after.astype(np.uint8)).view(np.int64)  # modulo 256
+                for x, v in zip(out, (h[chosen].view(np.int64), np.full(keep, sig[0]), np.full(keep, sig[1]), np.full(keep, len(h)), np.arange(keep), cells[:, 0], cells[:, 1]), strict=True):
                     x.append(v)
             if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t), pa.from_numpy_dtype(t)) for x, t in zip(out, (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64), strict=True)], names=["token", "hi", "lo", "n", "pos", "cells"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x).astype(t), pa.from_numpy_dtype(t)) for x, t in zip(out, (np.int64, np.int64, np.int64, np.int32, np.int32, np.int64, np.int64), strict=True)], names=["token", "hi", "lo", "n", "pos", "c1", "c2"])
 
     return run
 
 
-_PREFIX_SQL = "token long, hi long, lo long, n int, pos int, cells long"
+_PREFIX_SQL = "token long, hi long, lo long, n int, pos int, c1 long, c2 long"
 
 
 def _may_link(a: tuple, b: tuple, limit: Threshold) -> bool:
-    """Of two prefix entries (n, pos, cells) of one shingle, n of a at most that of b: the length, positional and suffix filters."""
-    if 100 * a[0] < limit.percent * b[0]:
+    """Of two prefix entries (n, pos, cells) of one shingle: the length, positional and suffix filters.
+
+    cells counts the set's later shingles by their last bits, modulo 256. If the shingle is the first that both share,
+    the ones before it differ, and the later ones differ at least by what the counts do; where it isn't the first, the
+    pair may be refused here, since the first one's bucket has it too.
+    """
+    if 100 * min(a[0], b[0]) < limit.percent * max(a[0], b[0]):
         return False
     need = limit.overlap(a[0] + b[0])
-    if min(a[0] - a[1], b[0] - b[1]) < need:
+    spare = a[0] + b[0] - 2 * need - a[1] - b[1]
+    if spare < 0 or min(a[0] - a[1], b[0] - b[1]) < need:
         return False
-    apart = sum(abs(x - y) for x, y in zip(a[2], b[2], strict=True))
-    return apart <= a[0] + b[0] - 2 * need
+    return sum(min(d, 256 - d) for d in map(abs, map(int.__sub__, a[2], b[2]))) <= spare
+
+
+def _cells(c1: np.ndarray, c2: np.ndarray) -> list[list[int]]:
+    return np.ascontiguousarray(np.stack([c1, c2], 1)).view(np.uint8).reshape(-1, _CELLS).tolist()
 
 
 def _buckets(limit: Threshold):
-    """Streams over entries sorted by shingle and size: pairs with the hub and the NEAR sets before, and the entries of large buckets."""
+    """Streams over entries sorted by shingle and size: pairs of small buckets, pairs with hubs, and the entries of large buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         token, before, hub, size, last, held = None, [], None, 0, None, []
@@ -185,8 +201,7 @@ def _buckets(limit: Threshold):
             pairs: list[tuple] = []
             kept: list[tuple] = []
             part = [c[touched] for c in columns]
-            cells = np.ascontiguousarray(part[5]).view(np.uint8).reshape(-1, _CELLS).tolist()
-            for k, hi, lo, n, pos, cell, raw in zip(*(c.tolist() for c in part[:5]), cells, part[5].tolist(), strict=True):
+            for k, hi, lo, n, pos, c1, c2, cell in zip(*(c.tolist() for c in part), _cells(*part[5:]), strict=True):
                 if k != token:
                     token, before, hub, size, last, held = k, [], None, 0, None, []
                 if (hi, lo) == last:
@@ -195,26 +210,27 @@ def _buckets(limit: Threshold):
                 row, own = (n, pos, cell), (hi, lo)
                 if hub is None or 100 * hub[0][0] < limit.percent * n:
                     hub = (row, own)
-                elif hub[1] not in [x[1] for x in before] and _may_link(hub[0], row, limit):
-                    pairs.append((0, *hub[1], *own, 0, 0, 0))
-                pairs += [(0, *x[1], *own, 0, 0, 0) for x in before if _may_link(x[0], row, limit)]
-                before = [*before[-NEAR + 1 :], (row, own)]
+                elif size >= SMALL:
+                    pairs += [(0, *x[1], *own, 0, 0, 0, 0) for x in islice((x for x in (hub, *before) if _may_link(x[0], row, limit)), 1)]
+                if size < SMALL:
+                    pairs += [(0, *x[1], *own, 0, 0, 0, 0) for x in before if _may_link(x[0], row, limit)]
+                before = [*before[1 - SMALL :], (row, own)]
                 size += 1
-                entry = (1, hi, lo, k, 0, n, pos, raw)
-                if size <= NEAR + 2:
+                entry = (1, hi, lo, k, 0, n, pos, c1, c2)
+                if size <= SMALL:
                     held.append(entry)
                 else:
                     kept += [*held, entry]
                     held = []
             if rows := pairs + kept:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64()), strict=True)], names=_FOUND)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.int32(), pa.int32(), pa.int64(), pa.int64()), strict=True)], names=_FOUND)
 
     return run
 
 
 #: kind 0: a pair of classes (a, b, c, d); kind 1: an entry of class (a, b) in the bucket of shingle c.
-_FOUND = ["kind", "a", "b", "c", "d", "n", "pos", "cells"]
-_FOUND_SQL = "kind int, a long, b long, c long, d long, n int, pos int, cells long"
+_FOUND = ["kind", "a", "b", "c", "d", "n", "pos", "c1", "c2"]
+_FOUND_SQL = "kind int, a long, b long, c long, d long, n int, pos int, c1 long, c2 long"
 
 
 def _wanted_sets(n: int, bits):
@@ -265,7 +281,10 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> Da
 
 
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
-    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links), n_links (of its class)."""
+    """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
+
+    Links within a component that is known already aren't looked for, so they aren't counted.
+    """
     spark, limit = docs.sparkSession, Threshold(percent)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -288,34 +307,87 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     pairs = rep(rep(pairs, "a", "b", "x"), "c", "d", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     links = materialize(_verified(pairs, docs, n, limit), "links")
-    component = connected_components(links)
-    large = rep(found.where("kind = 1").select("a", "b", F.col("c").alias("token"), "n", "pos", "cells"), "a", "b", "node")
+    component = materialize(connected_components(links), "components")
+    large = rep(found.where("kind = 1").select("a", "b", F.col("c").alias("token"), "n", "pos", "c1", "c2"), "a", "b", "node")
+    large = materialize(large, "large")
+    for turn in range(ROUNDS):
+        tried = _likely(large, component, pairs, limit, turn)
+        if tried is None:
+            break
+        pairs = pairs.unionByName(tried)
+        more = materialize(_verified(tried, docs, n, limit), "links")
+        links = links.unionByName(more)
+        if more.isEmpty():
+            break
+        component = materialize(connected_components(links), "components")
     rest = _between(large, component, pairs, limit)
     if not rest.isEmpty():
         links = materialize(links.unionByName(_verified(rest, docs, n, limit)), "links")
-        component = connected_components(links)
-    component = materialize(component, "components")
-    degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-    known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").join(degree.withColumnRenamed("node", "rep"), "rep", "left")
-    known = known.select("hi", "lo", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = rows.where("doc_id is not null and hi is not null").join(known, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "n_links")
-    alone = rows.where("doc_id is null or hi is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links"))
+        component = materialize(connected_components(links), "components")
+    known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
+    out = rows.where("doc_id is not null and hi is not null").join(known, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    alone = rows.where("doc_id is null or hi is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
     return out.unionByName(alone)
 
 
+def _owned(large: DataFrame, component: DataFrame) -> DataFrame:
+    return large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+
+def _passing(limit: Threshold):
+    """Streams over entries sorted by shingle: each with the last of the RECENT before it that passes and has another component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        token, recent = None, deque(maxlen=RECENT)
+        for batch in batches:
+            t, node, part, n, pos, c1, c2 = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            a, b = [], []
+            for k, v, c, size, at, cell in zip(t.tolist(), node.tolist(), part.tolist(), n.tolist(), pos.tolist(), _cells(c1, c2), strict=True):
+                if k != token:
+                    token = k
+                    recent.clear()
+                entry = (size, at, cell)
+                for other in islice((r for r in recent if r[1] != c and _may_link(r[2], entry, limit)), 1):
+                    a.append(min(v, other[0]))
+                    b.append(max(v, other[0]))
+                recent.appendleft((v, c, entry))
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return run
+
+
+def _likely(large: DataFrame, component: DataFrame, tested: DataFrame, limit: Threshold, turn: int) -> DataFrame | None:
+    """Of each set, the untested pairs with other components that share most prefix shingles; TRIES at most, as a first try.
+
+    None if there are none. What isn't tried here is left to _between().
+    """
+    spark = large.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    own = _owned(large, component).select("token", "node", "component", "n", "pos", "c1", "c2")
+    mixed = own.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
+    own = own.join(mixed, "token").repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("node", F.lit(turn)), "node")
+    pairs = own.mapInArrow(_passing(limit), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = pairs.join(tested, ["a", "b"], "left_anti")
+    best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
+    pairs = materialize(pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIES).select("a", "b"), "tried")
+    return None if pairs.isEmpty() else pairs
+
+
 def _between(large: DataFrame, component: DataFrame, tested: DataFrame, limit: Threshold) -> DataFrame:
     """Untested pairs of different components that share a large bucket and pass the filters."""
-    own = large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    own = materialize(own, "large")
+    own = materialize(_owned(large, component), "owned")
     mixed = own.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", "top")
     mixed = own.join(mixed, "token")
-    y = mixed.select("token", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "pos", "cells", "top")))
-    x = mixed.where("component != top").select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "pos", "cells")))
+    y = mixed.select("token", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "pos", "c1", "c2", "top")))
+    x = mixed.where("component != top").select("token", *(F.col(c).alias(f"{c}_x") for c in ("node", "component", "n", "pos", "c1", "c2")))
     p, q = f"{limit.percent}", f"{100 + limit.percent}"
     need = f"ceil({p}.0D * (n_x + n_y) / {q})"
-    apart = " + ".join(f"abs((shiftrightunsigned(cells_x, {8 * i}) & 255) - (shiftrightunsigned(cells_y, {8 * i}) & 255))" for i in range(_CELLS))
+    byte = "abs((shiftrightunsigned({c}_x, {i}) & 255) - (shiftrightunsigned({c}_y, {i}) & 255))"
+    each = [byte.format(c=c, i=8 * i) for c in ("c1", "c2") for i in range(8)]
+    apart = " + ".join(f"least({d}, 256 - {d})" for d in each)
     # of two sets outside the largest component, only one order
-    on = f"component_x != component_y and (component_y = top_y or node_x < node_y) and 100 * least(n_x, n_y) >= {p} * greatest(n_x, n_y) and least(n_x - pos_x, n_y - pos_y) >= {need} and {apart} <= n_x + n_y - 2 * {need}"
+    on = f"component_x != component_y and (component_y = top_y or node_x < node_y) and 100 * least(n_x, n_y) >= {p} * greatest(n_x, n_y) and least(n_x - pos_x, n_y - pos_y) >= {need} and pos_x + pos_y + {apart} <= n_x + n_y - 2 * {need}"
     pairs = x.join(y, "token").where(on).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     return materialize(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
 
