@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from txscore.llm import decontaminate, jaccard, line_dedup
+from txscore.llm import decontaminate, jaccard, line_dedup, quality, toxicity
 from txscore.llm._common import reader
 from txscore.llm.oracles import ORACLES
 
@@ -17,17 +18,30 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(reader(spark, sf_dir, "documents"), 3, 90).drop("n_links")
+    return jaccard.near_duplicates(reader(spark, sf_dir, "documents"), 3, 90)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(reader(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(reader(spark, sf_dir, "documents"), reader(spark, sf_dir, "labels"))
+
+
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = reader(spark, sf_dir, "documents").select("doc_id", "text")
+    graded = quality.grade(docs, quality.quality_model(docs, reader(spark, sf_dir, "labels")))
+    held_out = F.coalesce(toxicity.fold() == 0, F.lit(False))
+    return graded.select("*", held_out.alias("held_out"), (F.col("tail_probability") >= 0.5).alias("kept"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
+    "op9_quality": op9_quality,
 }
 
 
