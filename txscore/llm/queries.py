@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscore.llm import decontaminate, jaccard, line_dedup, quality, toxicity
+from txscore.llm import decontaminate, jaccard, line_dedup, mixing, quality, toxicity
 from txscore.llm._common import reader
 from txscore.llm.oracles import ORACLES
 
@@ -25,6 +25,10 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.dedup_lines(reader(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(reader(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity(reader(spark, sf_dir, "documents"), reader(spark, sf_dir, "labels"))
 
@@ -39,6 +43,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
+    "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
