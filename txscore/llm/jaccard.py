@@ -51,7 +51,7 @@ class _Words(dict):
     """Hashes of words; emptied when it grows too large."""
 
     def __missing__(self, word):
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         h = self[word] = xxhash.xxh3_64_intdigest(word)
         return h
