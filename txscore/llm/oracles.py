@@ -4,6 +4,15 @@ _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvw
 _SPACED = r"regexp_extract_all({}, '[^\x20\x09-\x0D]+')"
 _PLAIN = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 
+_OP1 = """
+with p as (select page_id, coalesce(html, '') html from pages),
+d as (select page_id, strlen(html)::bigint payload_bytes, unhex(sha1(html))::bit::varchar bits, max(page_id) over (partition by html) best from p)
+select page_id, payload_bytes, array_to_string(list_transform(range(32),
+    lambda i: 'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[1 + list_sum(list_transform(range(5), lambda j: (bits[5 * i + j + 1])::int * (16 >> j::int)))::int]), '') payload_digest,
+  case when page_id = best then 'response' else 'revisit' end record_type, case when page_id = best then null else best end refers_to
+from d
+"""
+
 _OP3 = f"""
 with items as (select item_id, coalesce({_PLAIN.format(_LOWER)}, []) w from benchmark where item_id is not null),
 windows as (
@@ -53,4 +62,4 @@ select d.doc_id, case when g.n is null then d.text else coalesce(k.txt, '') end
 from documents d left join kept k using (doc_id) left join count_gone g using (doc_id)
 """
 
-ORACLES = {"op8_line_dedup": _OP8, "op3_decontamination": _OP3, "op5_jaccard_join": _OP5}
+ORACLES = {"op1_warc": _OP1, "op8_line_dedup": _OP8, "op3_decontamination": _OP3, "op5_jaccard_join": _OP5}

@@ -7,11 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscore.llm import decontaminate, jaccard, line_dedup, mixing, quality, toxicity
+from txscore.llm import decontaminate, jaccard, line_dedup, mixing, quality, toxicity, warc
 from txscore.llm._common import reader
 from txscore.llm.oracles import ORACLES
 
 
+def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_warc(reader(spark, sf_dir, "pages"))
+    back = warc.read_warc(archives, with_payload=False)
+    return back.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(reader(spark, sf_dir, "documents"), reader(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -41,6 +47,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op3_decontamination": op3_decontamination,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
