@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscore.llm import decontaminate, jaccard, line_dedup, mixing, quality, toxicity, warc
+from txscore.llm import decontaminate, html_text, jaccard, line_dedup, mixing, quality, toxicity, warc
 from txscore.llm._common import reader
 from txscore.llm.oracles import ORACLES
 
@@ -23,6 +23,10 @@ def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.main_text(reader(spark, sf_dir, "pages"))
+
+
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(reader(spark, sf_dir, "documents"), 3, 90)
 
@@ -49,6 +53,7 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_decontamination": op3_decontamination,
+    "op4_html_text": op4_html_text,
     "op5_jaccard_join": op5_jaccard_join,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
