@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscore.llm import decontaminate, html_text, jaccard, line_dedup, mixing, quality, toxicity, warc
+from txscore.llm import ann, decontaminate, html_text, jaccard, line_dedup, mixing, quality, toxicity, warc
 from txscore.llm._common import reader
 from txscore.llm.oracles import ORACLES
 
@@ -50,6 +50,10 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graded.select("*", held_out.alias("held_out"), (F.col("tail_probability") >= 0.5).alias("kept"))
 
 
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(reader(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
     "op3_decontamination": op3_decontamination,
@@ -59,6 +63,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
     "op9_quality": op9_quality,
+    "op10_neighbours": op10_neighbours,
 }
 
 
