@@ -41,7 +41,7 @@ FILTER_BITS = 23
 #: The first so many sets of a bucket are all paired; later ones with the hub only, at first.
 SMALL = 6
 #: Before all pairs between components are tested, so many rounds test a few likely ones of each set, which join most components.
-ROUNDS, TRIES, RECENT = 4, 3, 12
+ROUNDS, TRIES, RECENT = 2, 3, 12
 _CELLS = 16
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -253,10 +253,8 @@ def _slot(doc: int) -> int:
     return (doc * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 64 - FILTER_BITS
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> DataFrame:
-    """pairs (a, b) of class representatives -> those that reach the threshold, on whole sets."""
-    spark = docs.sparkSession
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
+def _sets_of(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
+    """(node, s): the sets of these documents, and of few others, from one pass over the texts with a fixed-size filter."""
 
     def slots(batches):
         table = np.zeros(1 << FILTER_BITS - 3, np.uint8)
@@ -271,8 +269,12 @@ def _verified(pairs: DataFrame, docs: DataFrame, n: int, limit: Threshold) -> Da
     table = np.zeros(1 << FILTER_BITS - 6, np.int64)
     found = nodes.mapInArrow(slots, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table[found["at"].to_numpy()] = found["bits"].to_numpy()
-    bits = spark.sparkContext.broadcast(table.tobytes())
-    sets = materialize(docs.mapInArrow(_wanted_sets(n, bits), "node long, s array<long>"), "sets")
+    bits = docs.sparkSession.sparkContext.broadcast(table.tobytes())
+    return materialize(docs.mapInArrow(_wanted_sets(n, bits), "node long, s array<long>"), "wanted")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
+    """pairs (a, b) of class representatives -> those that reach the threshold, on whole sets."""
     a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(b, "b").join(a, "a")
@@ -306,23 +308,21 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     pairs = found.where("kind = 0").select("a", "b", "c", "d").distinct()
     pairs = rep(rep(pairs, "a", "b", "x"), "c", "d", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
-    links = materialize(_verified(pairs, docs, n, limit), "links")
-    component = materialize(connected_components(links), "components")
     large = rep(found.where("kind = 1").select("a", "b", F.col("c").alias("token"), "n", "pos", "c1", "c2"), "a", "b", "node")
     large = materialize(large, "large")
+    sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), docs, n)
+    links = materialize(_verified(pairs, sets, limit), "links")
+    component = materialize(connected_components(links), "components")
     for turn in range(ROUNDS):
         tried = _likely(large, component, pairs, limit, turn)
         if tried is None:
             break
         pairs = pairs.unionByName(tried)
-        more = materialize(_verified(tried, docs, n, limit), "links")
-        links = links.unionByName(more)
-        if more.isEmpty():
-            break
+        links = materialize(links.unionByName(_verified(tried, sets, limit)), "links")
         component = materialize(connected_components(links), "components")
     rest = _between(large, component, pairs, limit)
     if not rest.isEmpty():
-        links = materialize(links.unionByName(_verified(rest, docs, n, limit)), "links")
+        links = materialize(links.unionByName(_verified(rest, sets, limit)), "links")
         component = materialize(connected_components(links), "components")
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = rows.where("doc_id is not null and hi is not null").join(known, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
