@@ -1,2 +1,237 @@
-QUERIES = {}
-ORACLES = {}
+"""A query for each operator, over whole tables."""
+
+from __future__ import annotations
+
+import tempfile
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from txscore import config as C
+from txscore.functions import features, scalar
+from txscore.functions.scalar import Q
+from txscore.operators import index, knn
+from txscore.plans.oracles import ORACLES  # noqa: F401
+from txscore.sources.payload import parse_payloads
+from txscore.sources.tables import event_vectors, read, synthetic_vectors, transactions
+
+def _unknown():
+    return F.col("unknown_merchant")
+
+
+def _shared(spark: SparkSession, name: str) -> str:
+    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    return f"{root.rstrip('/')}/txscore/{name}-{uuid.uuid4().hex}"
+
+
+def _tx(spark, sf_dir) -> DataFrame:
+    return transactions(read(spark, sf_dir, "events"))
+
+
+def _vectors(spark, sf_dir) -> DataFrame:
+    return event_vectors(read(spark, sf_dir, "events"))
+
+
+def _references(spark, sf_dir) -> DataFrame:
+    return _vectors(spark, sf_dir).withColumnRenamed("event_id", "ref_id")
+
+
+def _queries(spark, sf_dir) -> DataFrame:
+    return _vectors(spark, sf_dir).select(F.col("event_id").alias("query_id"), *Q)
+
+
+def _some(*dims: int) -> list:
+    every = features.quantized_features(_unknown())
+    return [every[d] for d in dims]
+
+
+def quantize_amount(spark, sf_dir):
+    return read(spark, sf_dir, "orders").select("o_orderkey", scalar.quantize_clamped(F.col("o_totalprice") / C.MAX_AMOUNT).alias("q0"))
+
+
+def feature_ratio(spark, sf_dir):
+    x = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer").select("c_custkey", "c_acctbal"), F.col("o_custkey") == F.col("c_custkey"), "left")
+    ratio = F.when(F.col("c_acctbal") > 0, scalar.clamp01(F.try_divide("o_totalprice", "c_acctbal") / C.AMOUNT_VS_AVG_RATIO)).otherwise(1.0)
+    return x.select("o_orderkey", scalar.quantize(ratio).alias("q2"))
+
+
+def feature_time(spark, sf_dir):
+    return _tx(spark, sf_dir).select("event_id", "epoch_minutes", "hour", "weekday", *_some(3, 4))
+
+
+def feature_last_tx(spark, sf_dir):
+    return _tx(spark, sf_dir).select("event_id", *_some(5, 6))
+
+
+def feature_velocity(spark, sf_dir):
+    return _tx(spark, sf_dir).select("event_id", "tx_count_24h", *_some(8))
+
+
+def feature_known_merchant(spark, sf_dir):
+    return _tx(spark, sf_dir).select("event_id", *_some(11))
+
+
+def feature_mcc_risk(spark, sf_dir):
+    return _tx(spark, sf_dir).select("event_id", "mcc", *_some(12))
+
+
+def features_real(spark, sf_dir):
+    return _tx(spark, sf_dir).select("event_id", *[F.round(f, 9).alias(f"f{d}") for d, f in enumerate(features.real_features(_unknown()))])
+
+
+def mcc_table_1024(spark, sf_dir):
+    return read(spark, sf_dir, "part").select("p_partkey", scalar.mcc_slot_risk(F.col("p_partkey") * 7).alias("risk"))
+
+
+def partition_key(spark, sf_dir):
+    return _vectors(spark, sf_dir).select("event_id", scalar.partition_key().alias("pk"))
+
+
+def _boxes(spark, sf_dir) -> DataFrame:
+    return index.bounds(index.with_key(_vectors(spark, sf_dir)))
+
+
+def widest_dim(spark, sf_dir):
+    return _boxes(spark, sf_dir).select("pk", index.widest())
+
+
+def median_split(spark, sf_dir):
+    return index.median_split(index.with_key(_references(spark, sf_dir)))
+
+
+def box_lower_bound(spark, sf_dir):
+    """Of each event the bounds of all partitions but its own; partitions are 256 at most, so they are broadcast."""
+    x = index.with_key(_vectors(spark, sf_dir)).withColumnRenamed("pk", "own")
+    boxes = index.bounds(index.with_key(_vectors(spark, sf_dir)))
+    joined = x.join(F.broadcast(boxes), F.col("own") != F.col("pk"))
+    low, high = [F.col(f"l{d}") for d in range(C.DIM)], [F.col(f"h{d}") for d in range(C.DIM)]
+    return joined.select("event_id", "pk", scalar.box_bound([F.col(q) for q in Q], low, high).alias("bound"))
+
+
+def l2_distance(spark, sf_dir):
+    """Squared distances of events and the events before them, by id."""
+    x = _vectors(spark, sf_dir).select("event_id", *Q)
+    ids = x.select("event_id")
+    # the id before: ids are cut into ranges, and each range's first row looks at the largest id before it
+    ranges = ids.withColumn("r", F.floor(F.col("event_id") / 4096))
+    own = Window.partitionBy("r").orderBy("event_id")
+    last = ranges.groupBy("r").agg(F.max("event_id").alias("last"))
+    before = last.withColumn("prev_last", F.lag("last").over(Window.orderBy("r"))).select("r", "prev_last")  # a row a range
+    pairs = ranges.join(before, "r").select("event_id", F.coalesce(F.lag("event_id").over(own), "prev_last").alias("prev"))
+    a, b = x.select("event_id", *[F.col(q).alias(f"a_{q}") for q in Q]), x.select(F.col("event_id").alias("prev"), *[F.col(q).alias(f"b_{q}") for q in Q])
+    joined = pairs.join(a, "event_id").join(b, "prev")
+    return joined.select("event_id", scalar.squared_distance([F.col(f"a_{q}") for q in Q], [F.col(f"b_{q}") for q in Q]).alias("d2"))
+
+
+def knn_top5(spark, sf_dir):
+    return knn.knn(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True)
+
+
+def knn_vote(spark, sf_dir):
+    return knn.vote(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True).drop("partitions")
+
+
+def knn_vote_blocks(spark, sf_dir):
+    q = _queries(spark, sf_dir)
+    return knn.votes(q, knn.knn(q, _references(spark, sf_dir), leave_out=True, strategy="blocks"))
+
+
+def probe_stats(spark, sf_dir):
+    """How many partitions each query had to visit, and how many there are."""
+    found = knn.vote(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True)
+    return found.groupBy(F.col("partitions").alias("partitions_visited")).agg(F.count("*").alias("queries"), F.sum("fraud_count").cast("long").alias("votes"))
+
+
+def embedding_knn(spark, sf_dir):
+    """The same search over another number of dimensions, with signed fixed-point numbers."""
+    rows = read(spark, sf_dir, "embeddings")
+    dims = rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+    names = [f"q{d}" for d in range(dims)]
+    x = rows.select("vec_id", *[scalar.quantize_signed(F.get("embedding", F.lit(d))).alias(names[d]) for d in range(dims)])
+    found = knn.knn(x.withColumnRenamed("vec_id", "query_id"), x.withColumnRenamed("vec_id", "ref_id").withColumn("label", F.lit(0)), leave_out=True, columns=names)
+    return found.drop("label")
+
+
+def synthetic(spark, sf_dir):
+    return synthetic_vectors(spark, 4_096)
+
+
+def payload_json(tx: DataFrame) -> DataFrame:
+    """query_id and the nested JSON of each transaction."""
+    c = F.col
+    at = lambda minutes: F.concat(F.date_format(F.timestamp_seconds(c(minutes) * 60), "yyyy-MM-dd'T'HH:mm:ss"), F.lit("Z"))
+    known = F.when(c("unknown_merchant"), F.array().cast("array<string>")).otherwise(F.array(c("merchant_id")))
+    last = F.when(c("has_last"), F.struct(at("last_minutes").alias("timestamp"), c("last_km").alias("km_from_current")))
+    nested = F.struct(
+        F.concat(F.lit("tx-"), c("event_id")).alias("id"),
+        F.struct("amount", "installments", at("epoch_minutes").alias("requested_at")).alias("transaction"),
+        F.struct("avg_amount", "tx_count_24h", known.alias("known_merchants")).alias("customer"),
+        F.struct(c("merchant_id").alias("id"), "mcc", c("merchant_avg").alias("avg_amount")).alias("merchant"),
+        F.struct("is_online", "card_present", "km_from_home").alias("terminal"),
+        last.alias("last_transaction"),
+    )
+    return tx.select(c("event_id").alias("query_id"), F.to_json(nested, {"ignoreNullFields": "false"}).alias("value"))
+
+
+def json_payload_parse(spark, sf_dir):
+    flat = parse_payloads(payload_json(_tx(spark, sf_dir)))
+    return flat.select(F.col("query_id").alias("event_id"), "valid", F.round("amount", 9).alias("amount"), "installments", "tx_count_24h", "mcc", "is_online", "card_present", F.round("km_from_home", 9).alias("km_from_home"), "epoch_minutes", "hour", "weekday", "has_last", "last_minutes")
+
+
+def fraud_response_json(spark, sf_dir):
+    n = spark.range(C.K + 1).select(F.col("id").alias("n"))
+    return n.select("n", scalar.response(*scalar.decision(F.col("n"))).alias("response"))
+
+
+def stream_score(spark, sf_dir):
+    """All events as one available-now stream: vectors in files, searched batch by batch against broadcast references."""
+    source, sink, state = (_shared(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    queries, references = _queries(spark, sf_dir), _references(spark, sf_dir)
+    queries.write.parquet(source)
+    sent = spark.sparkContext.broadcast(knn.collect_references(index.with_key(references), Q))
+    stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 64).parquet(source)
+    found = knn.vote(stream, references, leave_out=True, sent=sent).drop("partitions")
+    found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(sink)
+
+
+def index_counts(spark, sf_dir):
+    """Builds an index, opens it with its checks, and reports its header."""
+    path = _shared(spark, "index")
+    index.build_index(_references(spark, sf_dir), path)
+    _, _, header = index.open_index(spark, path)
+    return spark.createDataFrame([(header["points"], header["fraud"], header["partitions"])], "points long, fraud long, partitions long")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "quantize_amount": quantize_amount,
+    "feature_ratio": feature_ratio,
+    "feature_time": feature_time,
+    "feature_last_tx": feature_last_tx,
+    "feature_velocity": feature_velocity,
+    "feature_known_merchant": feature_known_merchant,
+    "feature_mcc_risk": feature_mcc_risk,
+    "features_real": features_real,
+    "mcc_table_1024": mcc_table_1024,
+    "tx_vector": _vectors,
+    "partition_key": partition_key,
+    "partition_bounds": lambda spark, sf_dir: _boxes(spark, sf_dir).drop("mask"),
+    "label_mask": lambda spark, sf_dir: _boxes(spark, sf_dir).select("pk", "mask"),
+    "widest_dim": widest_dim,
+    "median_split": median_split,
+    "box_lower_bound": box_lower_bound,
+    "l2_distance": l2_distance,
+    "knn_top5": knn_top5,
+    "knn_vote": knn_vote,
+    "knn_vote_blocks": knn_vote_blocks,
+    "embedding_knn": embedding_knn,
+    "synthetic_vectors": synthetic,
+    "json_payload_parse": json_payload_parse,
+    "fraud_response_json": fraud_response_json,
+    "probe_stats": probe_stats,
+    "stream_score": stream_score,
+    "index_counts": index_counts,
+}
