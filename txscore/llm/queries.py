@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscore.llm import ann, decontaminate, html_text, jaccard, line_dedup, mixing, quality, toxicity, warc
+from txscore.llm import ann, decontaminate, html_text, jaccard, line_dedup, mixing, quality, tokens, toxicity, warc
 from txscore.llm._common import reader
 from txscore.llm.oracles import ORACLES
 
@@ -18,6 +18,10 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.select("page_id", "payload_bytes", "payload_digest", F.col("warc_type").alias("record_type"), "refers_to")
 
 
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.count_tokens(reader(spark, sf_dir, "documents"))
+
+
 def op3_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.contamination(reader(spark, sf_dir, "documents"), reader(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
@@ -56,6 +60,7 @@ def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_warc": op1_warc,
+    "op2_token_counts": op2_token_counts,
     "op3_decontamination": op3_decontamination,
     "op4_html_text": op4_html_text,
     "op5_jaccard_join": op5_jaccard_join,
