@@ -30,6 +30,27 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def materialize_few(df: DataFrame, name: str = "stage", rows_each: int = 100_000) -> DataFrame:
+    """As materialize(), for tables that may be much shorter than their many partitions: read as one for each 100,000 rows.
+
+    Else every exchange of a round over a short table leaves a file for each of its empty partitions.
+    """
+    out = materialize(df, name)
+    few = out.coalesce(max(1, -(-out.count() // rows_each)))
+    few.txscore_source = out
+    return few
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that materialize() wrote. Nothing that is computed later may need them."""
+    for df in tables:
+        jvm = df.sparkSession._jvm
+        files = getattr(df, "txscore_source", df).inputFiles()
+        if files:
+            folder = jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds what one Arrow batch of long texts holds, by rows and (where Spark has it) by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txscore.llm._common import materialize
+from txscore.llm._common import discard, materialize_few
 
 
 def connected_components(links: DataFrame) -> DataFrame:
@@ -15,7 +15,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     the number of rounds grows with the logarithm of the longest path.
     """
     clean = links.where("a is not null and b is not null and a != b")
-    edges = materialize(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
+    edges = materialize_few(clean.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "links")
     state = _state(edges)
     while state[0]:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -25,8 +25,9 @@ def connected_components(links: DataFrame) -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u != v")
-        edges = materialize(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
+        before, edges = edges, materialize_few(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "small")
         old, state = state, _state(edges)
+        discard(before)
         if old == state:
             break
     nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))

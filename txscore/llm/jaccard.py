@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txscore.llm._common import as_bytes, materialize, small_batches
+from txscore.llm._common import as_bytes, discard, materialize, materialize_few, small_batches
 from txscore.llm.components import connected_components
 
 #: log2 of the counters of the sketch of shingle frequencies; fixed, so what is broadcast is too.
@@ -307,23 +307,25 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
 
     pairs = found.where("kind = 0").select("a", "b", "c", "d").distinct()
     pairs = rep(rep(pairs, "a", "b", "x"), "c", "d", "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    pairs = materialize(pairs, "pairs")
+    pairs = materialize_few(pairs, "pairs")
     large = rep(found.where("kind = 1").select("a", "b", F.col("c").alias("token"), "n", "pos", "c1", "c2"), "a", "b", "node")
-    large = materialize(large, "large")
+    large = materialize_few(large, "large")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), docs, n)
-    links = materialize(_verified(pairs, sets, limit), "links")
-    component = materialize(connected_components(links), "components")
+    links = materialize_few(_verified(pairs, sets, limit), "links")
+    component = materialize_few(connected_components(links), "components")
     for turn in range(ROUNDS):
         tried = _likely(large, component, pairs, limit, turn)
         if tried is None:
             break
         pairs = pairs.unionByName(tried)
-        links = materialize(links.unionByName(_verified(tried, sets, limit)), "links")
-        component = materialize(connected_components(links), "components")
+        links, old = materialize_few(links.unionByName(_verified(tried, sets, limit)), "links"), links
+        component, before = materialize_few(connected_components(links), "components"), component
+        discard(old, before)
     rest = _between(large, component, pairs, limit)
     if not rest.isEmpty():
-        links = materialize(links.unionByName(_verified(rest, sets, limit)), "links")
-        component = materialize(connected_components(links), "components")
+        links = materialize_few(links.unionByName(_verified(rest, sets, limit)), "links")
+        component = materialize_few(connected_components(links), "components")
+    discard(found, large, sets, links)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = rows.where("doc_id is not null and hi is not null").join(known, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = rows.where("doc_id is null or hi is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
@@ -370,13 +372,13 @@ def _likely(large: DataFrame, component: DataFrame, tested: DataFrame, limit: Th
     pairs = own.mapInArrow(_passing(limit), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = pairs.join(tested, ["a", "b"], "left_anti")
     best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
-    pairs = materialize(pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIES).select("a", "b"), "tried")
+    pairs = materialize_few(pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIES).select("a", "b"), "tried")
     return None if pairs.isEmpty() else pairs
 
 
 def _between(large: DataFrame, component: DataFrame, tested: DataFrame, limit: Threshold) -> DataFrame:
     """Untested pairs of different components that share a large bucket and pass the filters."""
-    own = materialize(_owned(large, component), "owned")
+    own = materialize_few(_owned(large, component), "owned")
     mixed = own.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("top"), F.count("*").alias("parts")).where("parts > 1").select("token", "top")
     mixed = own.join(mixed, "token")
     y = mixed.select("token", *(F.col(c).alias(f"{c}_y") for c in ("node", "component", "n", "pos", "c1", "c2", "top")))
@@ -389,7 +391,7 @@ def _between(large: DataFrame, component: DataFrame, tested: DataFrame, limit: T
     # of two sets outside the largest component, only one order
     on = f"component_x != component_y and (component_y = top_y or node_x < node_y) and 100 * least(n_x, n_y) >= {p} * greatest(n_x, n_y) and least(n_x - pos_x, n_y - pos_y) >= {need} and pos_x + pos_y + {apart} <= n_x + n_y - 2 * {need}"
     pairs = x.join(y, "token").where(on).select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    return materialize(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
+    return materialize_few(pairs.join(tested, ["a", "b"], "left_anti"), "rest")
 
 
 def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
