@@ -71,6 +71,11 @@ class Nearest:
             a[old] = b[keep].reshape(len(touched), self.k)
 
 
+    def unanimous(self, rows: np.ndarray, label: int) -> np.ndarray:
+        """Whether these queries have k neighbours, all with the label."""
+        return (self.d[rows, -1] < _NONE) & (self.labels[rows] == label).all(1)
+
+
 class References:
     """References in memory, grouped by partition key, with each group's box and label mask."""
 
@@ -78,29 +83,45 @@ class References:
         order = np.lexsort((ids, keys))
         ids, x, labels, keys = ids[order], x[order], labels[order], keys[order]
         self.keys, begins = np.unique(keys, return_index=True)
-        ends = np.append(begins[1:], len(keys))
+        ends = np.append(begins[1:], len(keys))[: len(begins)]
         self.groups = [(ids[a:b], x[a:b].astype(np.float64), labels[a:b]) for a, b in zip(begins, ends, strict=True)]
         self.low = np.stack([g[1].min(0) for g in self.groups]) if self.groups else np.zeros((0, x.shape[1]))
         self.high = np.stack([g[1].max(0) for g in self.groups]) if self.groups else np.zeros((0, x.shape[1]))
         self.place = {int(k): n for n, k in enumerate(self.keys)}
         self.mask = np.array([np.bitwise_or.reduce(1 << g[2]) for g in self.groups], np.int64)
 
-    def search(self, q: np.ndarray, key: int, own: np.ndarray | None, k: int, stats: list | None = None) -> Nearest:
-        """The nearest of queries that share a partition key."""
+    def search(self, q: np.ndarray, key: int, own: np.ndarray | None, k: int, stats: list | None = None, only_votes: bool = False) -> Nearest:
+        """The nearest of queries that share a partition key.
+
+        only_votes: just the labels' sum must be right. Then a group with one label is put off for queries whose k nearest
+        all have it, and is looked at only if a later group brings another label.
+        """
         best, every = Nearest(len(q), k), np.arange(len(q))
         home = self.place.get(key)
         if home is not None:
             best.add(every, q, own, *self.groups[home])
         bound = np.stack([((np.maximum(np.maximum(lo - q, q - hi), 0)) ** 2).sum(1) for lo, hi in zip(self.low, self.high, strict=True)], 1) if self.groups else np.zeros((len(q), 0))
         seen = np.zeros(len(q), np.int64) + (home is not None)
+        put_off: list[tuple[int, np.ndarray]] = []
+
+        def visit(p: int, rows: np.ndarray) -> None:
+            if len(rows):
+                seen[rows] += 1
+                best.add(rows, q[rows], None if own is None else own[rows], *self.groups[p])
+
         for p in np.argsort(bound.min(0), kind="stable") if self.groups else []:
             if p == home:
                 continue
             # an equal bound can still bring a smaller id
             rows = np.flatnonzero(bound[:, p] <= best.d[:, -1])
-            if len(rows):
-                seen[rows] += 1
-                best.add(rows, q[rows], None if own is None else own[rows], *self.groups[p])
+            if only_votes and self.mask[p] in (1, 2):
+                settled = best.unanimous(rows, int(self.mask[p]) >> 1)
+                put_off.append((p, rows[settled]))
+                rows = rows[~settled]
+            visit(p, rows)
+        for p, rows in put_off:
+            rows = rows[(bound[rows, p] <= best.d[rows, -1]) & ~best.unanimous(rows, int(self.mask[p]) >> 1)]
+            visit(p, rows)
         if stats is not None:
             stats.append(seen)
         return best
@@ -126,7 +147,7 @@ def collect_references(references: DataFrame, columns: list[str]) -> References:
     return References(t["ref_id"].to_numpy(), x, t["label"].to_numpy().astype(np.int64), t["pk"].to_numpy())
 
 
-def searcher(sent, columns: list[str], k: int, leave_out: bool, per_query):
+def searcher(sent, columns: list[str], k: int, leave_out: bool, per_query, only_votes: bool = False):
     """A function for mapInArrow over queries (query_id, pk, columns): per_query makes a batch of ids and their nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +159,7 @@ def searcher(sent, columns: list[str], k: int, leave_out: bool, per_query):
                 for at in range(0, len(rows), _QUERIES):
                     part = rows[at : at + _QUERIES]
                     stats: list = []
-                    best = refs.search(q[part], int(key), ids[part] if leave_out else None, k, stats)
+                    best = refs.search(q[part], int(key), ids[part] if leave_out else None, k, stats, only_votes)
                     yield per_query(ids[part], best, stats[0])
 
     return run
@@ -238,5 +259,5 @@ def vote(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: boo
     rows = with_key(queries).select("query_id", "pk", *Q)
     if not queries.isStreaming:
         rows = rows.sortWithinPartitions("pk")
-    found = rows.mapInArrow(searcher(sent, Q, k, leave_out, _vote_rows), "query_id long, fraud_count int, partitions long")
+    found = rows.mapInArrow(searcher(sent, Q, k, leave_out, _vote_rows, True), "query_id long, fraud_count int, partitions long")
     return found.select("query_id", "fraud_count", *decision(F.col("fraud_count")), "partitions")
