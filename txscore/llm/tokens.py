@@ -26,7 +26,7 @@ from txscore.llm._common import as_bytes, small_batches
 #: The vocabulary file, a parameter of count_tokens; it is read where the driver runs.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PENALTY = 10.0
-NODES, LONG = 150_000, 256
+NODES, LONG = 800_000, 256
 SPACE = "▁"
 
 
@@ -43,28 +43,43 @@ class Counter:
     """Counts of pre-tokens, kept in a trie."""
 
     def __init__(self, pieces: dict[str, float]):
-        self.pieces = pieces
-        self.longest = max(map(len, pieces), default=1)
         self.unknown = min(pieces.values(), default=0.0) - PENALTY
+        self.longest = max(map(len, pieces), default=1)
+        # the pieces read backwards, so that those that end at a place are found along one path; "" has a piece's score
+        self.ends: dict = {}
+        for piece, score in pieces.items():
+            at = self.ends
+            for char in reversed(piece):
+                at = at.setdefault(char, {})
+            at[""] = score
         self.known: dict[bytes, int] = {}
         self._clear()
 
     def _clear(self) -> None:
         self.known.clear()
-        self.children: list[dict[str, int]] = [{}]
-        #: of each node's prefix, the best score and the tokens, negative so that of equal scores fewer tokens are larger
-        self.best: list[tuple[float, int]] = [(0.0, 0)]
-
-    def _step(self, word: str, at: int, before: list[tuple[float, int]]) -> tuple[float, int]:
-        """The best of word[:at], from those of its shorter prefixes; before[k] is that of word[:at - k - 1]."""
-        score, tokens = before[0]
-        char = word[at - 1]
-        best = (-float("inf"), 0) if char in self.pieces else (score + self.unknown, tokens - len(char.encode("utf-8", "surrogatepass")))
-        for k, (score, tokens) in enumerate(before):
-            piece = self.pieces.get(word[at - k - 1 : at])
+        #: the child of a node by a character, under node << 21 | character
+        self.child: dict[int, int] = {}
+        self.score, self.tokens = [0.0], [0]
+
+    def _best(self, text: str, at: int, score: list[float], tokens: list[int], nodes) -> tuple[float, int]:
+        """The best (score, tokens) of text[:at + 1], where nodes[k] is the place of text[:k]'s in the lists."""
+        best, least = -float("inf"), 0
+        ends, k = self.ends.get(text[at]), at
+        if ends is None or "" not in ends:
+            before = nodes[at]
+            best, least = score[before] + self.unknown, tokens[before] + len(text[at].encode("utf-8", "surrogatepass"))
+        while ends is not None:
+            piece = ends.get("")
             if piece is not None:
-                best = max(best, (score + piece, tokens - 1))
-        return best
+                before = nodes[k]
+                total = score[before] + piece
+                if total > best or total == best and tokens[before] + 1 < least:
+                    best, least = total, tokens[before] + 1
+            k -= 1
+            if k < 0:
+                break
+            ends = ends.get(text[k])
+        return best, least
 
     def count(self, word: bytes) -> int:
         found = self.known.get(word)
@@ -72,23 +87,27 @@ class Counter:
             return found
         text = SPACE + word.decode("utf-8", "replace")
         if len(text) > LONG:
-            before = [(0.0, 0)]
-            for at in range(1, len(text) + 1):
-                before = [self._step(text, at, before), *before[: self.longest - 1]]
-            return -before[0][1]
-        if len(self.best) >= NODES:
+            score, tokens, nodes = [0.0], [0], range(len(text) + 1)
+            for at in range(len(text)):
+                s, t = self._best(text, at, score, tokens, nodes)
+                score.append(s)
+                tokens.append(t)
+            return tokens[-1]
+        if len(self.score) >= NODES:
             self._clear()
-        path = [0]
-        for at, char in enumerate(text, 1):
-            node = self.children[path[-1]].get(char)
+        score, tokens, child = self.score, self.tokens, self.child
+        node, path = 0, [0]
+        for at, char in enumerate(text):
+            key = node << 21 | ord(char)
+            node = child.get(key)
             if node is None:
-                node = len(self.best)
-                self.children[path[-1]][char] = node
-                self.children.append({})
-                self.best.append(self._step(text, at, [self.best[p] for p in path[: -self.longest - 1 : -1]]))
+                s, t = self._best(text, at, score, tokens, path)
+                node = child[key] = len(score)
+                score.append(s)
+                tokens.append(t)
             path.append(node)
-        self.known[word] = -self.best[path[-1]][1]
-        return self.known[word]
+        self.known[word] = tokens[node]
+        return tokens[node]
 
 
 def _count(sent):
