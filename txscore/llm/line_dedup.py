@@ -13,7 +13,7 @@ at least min_words words, so the later copies of such runs go, line by line, and
 counts has a word, a passage has at most min_words lines, and about log2(min_words) doublings are enough.
 
 Defined results: lines are split at \\n and compared exactly; blank lines count for nothing, but those inside a
-removed run go with it. A null or
+shortest passage that goes go with it. A null or
 empty text stays as it is. Rows without a doc_id take no part and stay. Rows that repeat doc_id and text are one document.
 Within a document a later copy goes as well. Other columns pass through.
 """
