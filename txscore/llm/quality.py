@@ -119,7 +119,8 @@ def _grade(bits: int, sent, tail: int | None, least: float | None):
 def _model(docs: DataFrame, model: DataFrame):
     rows = model.toPandas()  # 2**bits weights, thresholds and grades at most
     part = {k: rows[rows.kind == k].sort_values("at") for k in ("w", "cut", "grade")}
-    return docs.sparkSession.sparkContext.broadcast((part["w"]["at"].to_numpy(), part["w"]["value"].to_numpy(), part["cut"]["value"].to_numpy(), part["grade"]["value"].to_numpy()))
+    grades = part["grade"]["value"].to_numpy() if len(part["grade"]) else np.zeros(1)  # without a rated row
+    return docs.sparkSession.sparkContext.broadcast((part["w"]["at"].to_numpy(), part["w"]["value"].to_numpy(), part["cut"]["value"].to_numpy(), grades))
 
 
 def grade(docs: DataFrame, model: DataFrame, tail: int | None = None, bits: int = BITS) -> DataFrame:
