@@ -195,13 +195,16 @@ def _block_search(columns: list[str], k: int, leave_out: bool):
 def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: int, leave_out: bool, block_rows: int) -> DataFrame:
     boxes = bounds(references).select("pk", "n", *[f"{s}{d}" for s in "lh" for d in range(len(columns))])
     boxes = F.broadcast(boxes.withColumn("parts", F.ceil(F.col("n") / block_rows)))  # a row a partition key, 256 at most
-    refs = references.join(boxes.select("pk", "parts"), "pk").withColumn("block", F.pmod(F.xxhash64("ref_id"), "parts")).select("pk", "block", "ref_id", "label", *columns)
+    blocked = references.join(boxes.select("pk", "parts"), "pk").withColumn("block", F.pmod(F.xxhash64("ref_id"), "parts")).select("pk", "block", "ref_id", "label", *columns)
     nearest = Window.partitionBy("query_id").orderBy("d2", "ref_id")
-    key = ["pk", "block"]
+    key = ["pk", "block", "share"]
 
     def probe(asked: DataFrame) -> DataFrame:
         # queries come in blocks as well: a key with a third of them is many groups
-        dealt = asked.select("pk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), "query_id", "radius", *columns)
+        shares = F.broadcast(asked.groupBy("pk").agg(F.ceil(F.count("*") / block_rows).alias("shares")))  # 256 rows at most
+        share = F.pmod(F.xxhash64("query_id"), "shares").alias("share")
+        dealt = asked.join(shares, "pk").select("pk", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("block"), share, "query_id", "radius", *columns)
+        refs = blocked.join(shares, "pk").select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("shares") - 1)).alias("share")).drop("shares")
         found = refs.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_block_search(columns, k, leave_out), _ROWS_SQL)
         return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
