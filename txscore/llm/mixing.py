@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txscore.llm._common import materialize
+from txscore.llm._common import materialize, materialize_few
 
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often, and no target is more times its source's size.
@@ -98,17 +98,25 @@ def _copies(shift, cap: int):
 
 def shifts(rated: DataFrame, sources: DataFrame, n_sources: int, cap: int = CAP) -> DataFrame:
     """rated (key, size, rate, own) -> (key, shift, missing): copies whose words are nearest to the target, and what they miss it by."""
-    state = materialize(sources.where("target > 0").select(*_KEY, "target", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(0).cast("long").alias("w_lo"), F.lit(None).cast("long").alias("w_hi")), "shifts")
+    state = materialize(sources.where("target > 0").select(*_KEY, "target", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(None).cast("long").alias("w_lo"), F.lit(None).cast("long").alias("w_hi")), "shifts")
     at = [F.col("lo") + (F.col("hi") - F.col("lo")) * k / _WAYS for k in range(_WAYS + 1)]
-    for _ in range(_SEARCHES):
+    for turn in range(_SEARCHES):
         placed = _by_source(rated, state.select(*_KEY, "lo", "hi"), n_sources)
-        sums = placed.groupBy(*_KEY).agg(*[F.sum(F.col("size") * _copies(at[k], cap)).alias(f"w{k}") for k in range(_WAYS + 1)])
-        both = state.drop("w_lo", "w_hi").join(F.broadcast(sums) if n_sources <= BROADCAST_SOURCES else sums, _KEY)
+        least = _copies(F.col("lo"), cap)
+        more = [F.sum(F.col("size") * (_copies(at[k], cap) - least)).alias(f"m{k}") for k in range(1, _WAYS + 1)]
+        sums = placed.groupBy(*_KEY).agg(F.sum(F.col("size") * least).alias("all"), *more)
+        both = state.drop("w_hi").join(F.broadcast(sums) if n_sources <= BROADCAST_SOURCES else sums, _KEY, "left")
+        # documents that left the search are in w_lo, and take as many copies at either end
+        base = F.coalesce("w_lo", "all", F.lit(0).cast("long"))
+        words = [base, *(base + F.coalesce(f"m{k}", F.lit(0).cast("long")) for k in range(1, _WAYS + 1))]
         # the last way that doesn't take more than the target; the sums rise
-        k = sum((F.when(F.col(f"w{j}") <= F.col("target"), 1).otherwise(0) for j in range(1, _WAYS)), F.lit(0)).cast("int")
-        ends, words = F.array(*at), F.array(*(F.col(f"w{j}") for j in range(_WAYS + 1)))
-        new = both.withColumn("k", k).select(*_KEY, "target", F.get(ends, F.col("k")).alias("lo"), F.get(ends, F.col("k") + 1).alias("hi"), F.get(words, F.col("k")).alias("w_lo"), F.get(words, F.col("k") + 1).alias("w_hi"))
+        k = sum((F.when(words[j] <= F.col("target"), 1).otherwise(0) for j in range(1, _WAYS)), F.lit(0)).cast("int")
+        ends, totals = F.array(*at), F.array(*words)
+        new = both.withColumn("k", k).select(*_KEY, "target", F.get(ends, F.col("k")).alias("lo"), F.get(ends, F.col("k") + 1).alias("hi"), F.get(totals, F.col("k")).alias("w_lo"), F.get(totals, F.col("k") + 1).alias("w_hi"))
         state = materialize(new, "shifts")
+        if turn < _SEARCHES - 1:
+            left = _by_source(rated, state.select(*_KEY, "lo", "hi"), n_sources).where(_copies(F.col("lo"), cap) != _copies(F.col("hi"), cap))
+            rated = materialize_few(left.drop("lo", "hi"), "open")
     upper = F.abs(F.col("w_hi") - F.col("target")) < F.abs(F.col("w_lo") - F.col("target"))
     return state.select(*_KEY, F.when(upper, F.col("hi")).otherwise(F.col("lo")).alias("shift"), (F.col("target") - F.when(upper, F.col("w_hi")).otherwise(F.col("w_lo"))).alias("missing"))
 
