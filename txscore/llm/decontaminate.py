@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txscore.llm._common import as_bytes, small_batches
+from txscore.llm._common import as_bytes, materialize, small_batches
 
 WINDOW = 13
 #: Of a document's words, the share (one in so many) from which on it counts as contaminated.
@@ -228,7 +228,7 @@ def _digest(only_clean: bool, share: int):
             n, spans, items, longest = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c, _ in _STATE_ARROW)
             hit = [_covered(s, k) for s, k in zip(spans, n, strict=True)]
             bad = [h > 0 and share * h >= k for h, k in zip(hit, n, strict=True)]
-            kept = [c for c in batch.schema.names if c not in dict(_STATE_ARROW)]
+            kept = [c for c in batch.schema.names if c not in dict(_STATE_ARROW) and (only_clean or c != "text")]
             columns = [batch.column(batch.schema.get_field_index(c)) for c in kept]
             if only_clean:
                 yield pa.RecordBatch.from_arrays(columns, names=kept).filter(pa.array([not b for b in bad], pa.bool_()))
@@ -241,7 +241,8 @@ def _digest(only_clean: bool, share: int):
     return run
 
 
-def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
+def _scanned(docs: DataFrame, benchmark: DataFrame, window: int, finish, out: T.StructType) -> DataFrame:
+    """One pass a block of the benchmark, each in one worker a task; the last one also finishes. Several passes write docs between."""
     spark = docs.sparkSession
     small_batches(spark)
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text")).where("item_id is not null and text is not null")
@@ -252,8 +253,10 @@ def _scanned(docs: DataFrame, benchmark: DataFrame, window: int) -> DataFrame:
     for b in range(blocks):
         rows = dealt.where(F.col("_block") == b).collect()  # about BLOCK_BYTES
         index = spark.sparkContext.broadcast(TestIndex([(r.item_id, r.text.encode()) for r in rows], window))
-        docs = docs.mapInArrow(_scan(index, b == 0), T.StructType([*schema.fields, *_STATE.fields]))
-    return docs
+        scan = _scan(index, b == 0)
+        if b < blocks - 1:
+            docs = materialize(docs.mapInArrow(scan, T.StructType([*schema.fields, *_STATE.fields])), "scanned")
+    return docs.mapInArrow(lambda batches: finish(scan(batches)), out)
 
 
 _OUT_SPARK = T.StructType([T.StructField(c, {pa.int64(): T.LongType(), pa.string(): T.StringType(), pa.bool_(): T.BooleanType()}[k]) for c, k in _OUT])
@@ -261,10 +264,10 @@ _OUT_SPARK = T.StructType([T.StructField(c, {pa.int64(): T.LongType(), pa.string
 
 def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, n_items, items_sha256, contaminated and the longest match with its places."""
-    scanned = _scanned(docs.select("doc_id", "text"), benchmark, window).drop("text")
-    return scanned.mapInArrow(_digest(False, share), T.StructType([docs.schema["doc_id"], *_OUT_SPARK.fields]))
+    out = T.StructType([docs.schema["doc_id"], *_OUT_SPARK.fields])
+    return _scanned(docs.select("doc_id", "text"), benchmark, window, _digest(False, share), out)
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: int = SHARE) -> DataFrame:
     """The documents that aren't contaminated, with all their columns; nothing is shuffled."""
-    return _scanned(docs, benchmark, window).mapInArrow(_digest(True, share), docs.schema)
+    return _scanned(docs, benchmark, window, _digest(True, share), docs.schema)
