@@ -131,6 +131,18 @@ def test_votes_equal_brute_force(spark, share):
     assert got == {a: sum(y for _, _, y in d) for a, d in brute(queries, refs, 5, False).items()}
 
 
+def test_approximate_mode_keeps_its_bound(spark):
+    near = [([int(5000 + 9 * x) for x in v], y) for v, y in random_rows(200, 11, range(-99, 99))]
+    far = random_rows(60, 12, list(range(-10000, 10001, 100)))
+    refs = near + far
+    exact = {a: d for a, d in brute(refs, refs, 5, True).items()}
+    got = {}
+    for r in knn.knn(vectors(spark, refs, "query_id").drop("label"), vectors(spark, refs), leave_out=True, strategy="broadcast", approximate=True).collect():
+        got.setdefault(r.query_id, []).append((r.d2, r.ref_id, r.label))
+    for a, rows in got.items():
+        assert sorted(rows) == exact[a] or max(d for d, _, _ in rows) <= C.EARLY_STOP
+
+
 def test_few_references(spark):
     q = vectors(spark, random_rows(3, 3, [0, 10000]), "query_id").drop("label")
     few = vectors(spark, [([0] * 14, 1), ([10000] * 14, 1)])

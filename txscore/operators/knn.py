@@ -90,11 +90,12 @@ class References:
         self.place = {int(k): n for n, k in enumerate(self.keys)}
         self.mask = np.array([np.bitwise_or.reduce(1 << g[2]) for g in self.groups], np.int64)
 
-    def search(self, q: np.ndarray, key: int, own: np.ndarray | None, k: int, stats: list | None = None, only_votes: bool = False) -> Nearest:
+    def search(self, q: np.ndarray, key: int, own: np.ndarray | None, k: int, stats: list | None = None, only_votes: bool = False, enough: float = -1.0) -> Nearest:
         """The nearest of queries that share a partition key.
 
         only_votes: just the labels' sum must be right. Then a group with one label is put off for queries whose k nearest
         all have it, and is looked at only if a later group brings another label.
+        enough: the approximate mode; a query whose k nearest so far are all within this squared distance is done.
         """
         best, every = Nearest(len(q), k), np.arange(len(q))
         home = self.place.get(key)
@@ -113,7 +114,7 @@ class References:
             if p == home:
                 continue
             # an equal bound can still bring a smaller id
-            rows = np.flatnonzero(bound[:, p] <= best.d[:, -1])
+            rows = np.flatnonzero((bound[:, p] <= best.d[:, -1]) & (best.d[:, -1] > enough))
             if only_votes and self.mask[p] in (1, 2):
                 settled = best.unanimous(rows, int(self.mask[p]) >> 1)
                 put_off.append((p, rows[settled]))
@@ -147,7 +148,7 @@ def collect_references(references: DataFrame, columns: list[str]) -> References:
     return References(t["ref_id"].to_numpy(), x, t["label"].to_numpy().astype(np.int64), t["pk"].to_numpy())
 
 
-def searcher(sent, columns: list[str], k: int, leave_out: bool, per_query, only_votes: bool = False):
+def searcher(sent, columns: list[str], k: int, leave_out: bool, per_query, only_votes: bool = False, enough: float = -1.0):
     """A function for mapInArrow over queries (query_id, pk, columns): per_query makes a batch of ids and their nearest."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -159,16 +160,16 @@ def searcher(sent, columns: list[str], k: int, leave_out: bool, per_query, only_
                 for at in range(0, len(rows), _QUERIES):
                     part = rows[at : at + _QUERIES]
                     stats: list = []
-                    best = refs.search(q[part], int(key), ids[part] if leave_out else None, k, stats, only_votes)
+                    best = refs.search(q[part], int(key), ids[part] if leave_out else None, k, stats, only_votes, enough)
                     yield per_query(ids[part], best, stats[0])
 
     return run
 
 
-def _broadcast(queries: DataFrame, references: DataFrame, columns: list[str], k: int, leave_out: bool) -> DataFrame:
+def _broadcast(queries: DataFrame, references: DataFrame, columns: list[str], k: int, leave_out: bool, enough: float) -> DataFrame:
     sent = queries.sparkSession.sparkContext.broadcast(collect_references(references, columns))
     rows = queries.select("query_id", "pk", *columns).sortWithinPartitions("pk")
-    return rows.mapInArrow(searcher(sent, columns, k, leave_out, lambda ids, best, _: _rows(ids, best)), _ROWS_SQL)
+    return rows.mapInArrow(searcher(sent, columns, k, leave_out, lambda ids, best, _: _rows(ids, best), False, enough), _ROWS_SQL)
 
 
 def _block_search(columns: list[str], k: int, leave_out: bool):
@@ -218,10 +219,11 @@ def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: in
     return both.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
 
-def knn(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool = False, strategy: str = "auto", columns: list[str] | None = None, block_rows: int = 50_000) -> DataFrame:
+def knn(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool = False, strategy: str = "auto", columns: list[str] | None = None, block_rows: int = 50_000, approximate: bool = False) -> DataFrame:
     """queries (query_id, q..) and references (ref_id, q.., label) -> (query_id, rank, ref_id, d2, label).
 
     leave_out: a reference with the query's id isn't its neighbour. A query without references has no rows.
+    approximate: with "broadcast", stop at k neighbours within EARLY_STOP; if a query never gets there, its rows are exact.
     """
     columns = columns or Q
     if columns == Q:
@@ -231,7 +233,7 @@ def knn(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool
     if strategy == "auto":
         strategy = "broadcast" if references.count() <= C.BROADCAST_REFERENCES else "blocks"
     if strategy == "broadcast":
-        return _broadcast(queries, references, columns, k, leave_out)
+        return _broadcast(queries, references, columns, k, leave_out, float(C.EARLY_STOP) if approximate else -1.0)
     if strategy == "blocks":
         return _blocks(queries, references, columns, k, leave_out, block_rows)
     raise ValueError(f"no strategy {strategy}")

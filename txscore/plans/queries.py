@@ -139,6 +139,16 @@ def knn_vote_blocks(spark, sf_dir):
     return knn.votes(q, knn.knn(q, _references(spark, sf_dir), leave_out=True, strategy="blocks"))
 
 
+def knn_approximate(spark, sf_dir):
+    """Neighbours that may not be the nearest where five within the early-stop distance were found first."""
+    return knn.knn(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True, strategy="broadcast", approximate=True)
+
+
+def index_leaves(spark, sf_dir):
+    """Bounds and label masks of the leaves below the partitions."""
+    return index.bounds(index.leaves(_references(spark, sf_dir)), "leaf")
+
+
 def probe_stats(spark, sf_dir):
     """How many partitions each query had to visit, and how many there are."""
     found = knn.vote(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True)
@@ -231,6 +241,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "synthetic_vectors": synthetic,
     "json_payload_parse": json_payload_parse,
     "fraud_response_json": fraud_response_json,
+    "knn_approximate": knn_approximate,
+    "index_leaves": index_leaves,
     "probe_stats": probe_stats,
     "stream_score": stream_score,
     "index_counts": index_counts,
