@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections import deque
 from collections.abc import Iterator
 from itertools import islice
@@ -34,14 +35,16 @@ from pyspark.sql import functions as F
 from txscore.llm._common import as_bytes, discard, materialize, materialize_few, small_batches
 from txscore.llm.components import connected_components
 
-#: log2 of the counters of the sketch of shingle frequencies; fixed, so what is broadcast is too.
-SKETCH_BITS = 18
+#: log2 of the counters of the sketch of shingle frequencies, and of those in a block of it; fixed, so what is broadcast is too.
+SKETCH_BITS, BLOCK_BITS = 21, 16
 #: log2 of the bits of the filter of wanted documents.
 FILTER_BITS = 23
 #: The first so many sets of a bucket are all paired; later ones with the hub only, at first.
 SMALL = 6
 #: Before all pairs between components are tested, so many rounds test a few likely ones of each set, which join most components.
 ROUNDS, TRIES, RECENT = 2, 3, 12
+#: So many ids of sets to verify are broadcast at most, 16 MB or so.
+BROADCAST_NODES = 500_000
 _CELLS = 16
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -98,10 +101,10 @@ class Threshold:
 
 
 def _sets(n: int):
-    """Pass over the texts: a row (0, doc_id, size, signature) for each document, and (1, slot, count, 0, 0) of the sketch."""
+    """Pass over the texts: a row (0, doc_id, size, signature) for each document, and (1, block, .., counters) of the sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sketch = _Words(), np.zeros(1 << SKETCH_BITS, np.int64)
+        words, sketch = _Words(), np.zeros(1 << SKETCH_BITS, np.uint32)
         for batch in batches:
             rows = []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
@@ -109,24 +112,42 @@ def _sets(n: int):
                 hi, lo = _signature(h) if len(h) else (None, None)
                 if doc is not None and len(h):
                     np.add.at(sketch, (h >> _U(64 - SKETCH_BITS)).astype(np.int64), 1)
-                rows.append((0, doc, len(h), hi, lo))
+                rows.append((0, doc, len(h), hi, lo, None))
             if rows:
                 yield _batch(rows)
-        slots = np.flatnonzero(sketch)
-        for i in range(0, len(slots), 20_000):
-            part = slots[i : i + 20_000]
-            zero = np.zeros(len(part), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((zero + 1, pa.int32()), (part, pa.int64()), (sketch[part], pa.int64()), (zero, pa.int64()), (zero, pa.int64()))], names=_ROW)
+        for k, part in enumerate(sketch.reshape(-1, 1 << BLOCK_BITS)):
+            if part.any():
+                yield _batch([(1, k, None, None, None, zlib.compress(part.tobytes(), 1))])
 
     return run
 
 
-_ROW = ["kind", "doc_id", "n", "hi", "lo"]
-_ROW_SQL = "kind int, doc_id long, n long, hi long, lo long"
+_ROW = ["kind", "doc_id", "n", "hi", "lo", "counters"]
+_ROW_SQL = "kind int, doc_id long, n long, hi long, lo long, counters binary"
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4), strict=True)], names=_ROW)
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.int64()] * 4, pa.binary()), strict=True)], names=_ROW)
+
+
+def _summed(table: pa.Table) -> pa.Table:
+    """Adds the counters of blocks of one number."""
+    total = np.zeros(1 << BLOCK_BITS, np.uint64)
+    for blob in table["counters"]:
+        total += np.frombuffer(zlib.decompress(blob.as_buffer()), np.uint32)
+    total = np.minimum(total, (1 << 32) - 1).astype(np.uint32)
+    return pa.table({"doc_id": table["doc_id"].slice(0, 1), "counters": pa.array([zlib.compress(total.tobytes(), 1)], pa.binary())})
+
+
+def _sketch(first: DataFrame) -> np.ndarray:
+    """The counters of all tasks, added up in two steps, so that no group holds a block of each task."""
+    blocks = first.where("kind = 1").select("doc_id", "counters")
+    shares = blocks.groupBy("doc_id", F.pmod(F.xxhash64("counters"), F.lit(16)).alias("share"))
+    added = shares.applyInArrow(_summed, "doc_id long, counters binary").groupBy("doc_id").applyInArrow(_summed, "doc_id long, counters binary").toArrow()
+    counts = np.zeros((1 << SKETCH_BITS - BLOCK_BITS, 1 << BLOCK_BITS), np.uint32)
+    for k, blob in zip(added["doc_id"].to_pylist(), added["counters"].to_pylist(), strict=True):
+        counts[k] = np.frombuffer(zlib.decompress(blob), np.uint32)
+    return counts.ravel()
 
 
 def _prefixes(n: int, limit: Threshold, counts):
@@ -275,6 +296,9 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
     """pairs (a, b) of class representatives -> those that reach the threshold, on whole sets."""
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # ids of a checked number; beyond it the join shuffles all sets
+    sets = sets.join(F.broadcast(nodes) if nodes.count() <= BROADCAST_NODES else nodes, "node", "left_semi")
     a = sets.select(F.col("node").alias("a"), F.col("s").alias("sa"))
     b = sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     both = pairs.join(b, "b").join(a, "a")
@@ -291,9 +315,7 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = materialize(docs.mapInArrow(_sets(n), _ROW_SQL), "sets")
-    counts = np.zeros(1 << SKETCH_BITS, np.int64)
-    sketch = first.where("kind = 1").groupBy("doc_id").agg(F.sum("n").alias("n")).toArrow()
-    counts[sketch["doc_id"].to_numpy()] = sketch["n"].to_numpy()
+    counts = _sketch(first)
     rows = first.where("kind = 0")
     classes = rows.where("doc_id is not null and hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
     classes = materialize(classes, "classes")
