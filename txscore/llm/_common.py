@@ -30,14 +30,16 @@ def materialize(df: DataFrame, name: str = "stage") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def materialize_few(df: DataFrame, name: str = "stage", rows_each: int = 100_000) -> DataFrame:
+def materialize_few(df: DataFrame, name: str = "stage", at_most: int | None = None, rows_each: int = 100_000) -> DataFrame:
     """As materialize(), for tables that may be much shorter than their many partitions: read as one for each 100,000 rows.
 
-    Else every exchange of a round over a short table leaves a file for each of its empty partitions.
+    Else every exchange of a round over a short table leaves a file for each of its empty partitions. at_most: a bound of
+    its rows, if one is known; then it is written in as few files.
     """
-    out = materialize(df, name)
-    few = out.coalesce(max(1, -(-out.count() // rows_each)))
-    few.txscore_source = out
+    out = materialize(df if at_most is None else df.coalesce(max(1, -(-at_most // rows_each))), name)
+    rows = out.count()
+    few = out.coalesce(max(1, -(-rows // rows_each)))
+    few.txscore_source, few.txscore_rows = out, rows
     return few
 
 

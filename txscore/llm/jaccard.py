@@ -334,19 +334,19 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     large = materialize_few(large, "large")
     sets = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).unionByName(large.select("node")), docs, n)
     links = materialize_few(_verified(pairs, sets, limit), "links")
-    component = materialize_few(connected_components(links), "components")
+    component = connected_components(links)
     for turn in range(ROUNDS):
         tried = _likely(large, component, pairs, limit, turn)
         if tried is None:
             break
         pairs = pairs.unionByName(tried)
         links, old = materialize_few(links.unionByName(_verified(tried, sets, limit)), "links"), links
-        component, before = materialize_few(connected_components(links), "components"), component
+        component, before = connected_components(links), component
         discard(old, before)
     rest = _between(large, component, pairs, limit)
     if not rest.isEmpty():
         links = materialize_few(links.unionByName(_verified(rest, sets, limit)), "links")
-        component = materialize_few(connected_components(links), "components")
+        component = connected_components(links)
     discard(found, large, sets, links)
     known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
     out = rows.where("doc_id is not null and hi is not null").join(known, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
