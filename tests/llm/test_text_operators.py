@@ -87,6 +87,25 @@ def test_no_large_bucket_pair_is_lost(spark, monkeypatch):
     assert got == components(dict(enumerate(texts)), 3, 90)
 
 
+def test_links_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 7)
+    texts = dict(enumerate(copies(3)))
+    s = {k: shingles(t, 3) for k, t in texts.items()}
+    linked = {(a, b) for a in s for b in s if a != b and s[a] and s[b] and 100 * len(s[a] & s[b]) >= 90 * len(s[a] | s[b])}
+    got = {r.doc_id: r.n_links for r in jaccard.jaccard_join(docs(spark, list(texts.values()))).collect()}
+    assert got == {k: sum(a == k for a, _ in linked) for k in s}
+    first = {k: min(b for b in s if s[b] == s[k]) for k in s}
+    pairs = [(r.a, r.b) for r in jaccard.near_pairs(docs(spark, list(texts.values()))).collect()]
+    assert len(pairs) > 200 and sorted(pairs) == sorted({(first[a], first[b]) for a, b in linked if first[a] < first[b]})
+
+
+def test_links_defined_cases(spark):
+    assert jaccard.jaccard_join(docs(spark, [])).count() == 0
+    rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (9, "a b c d"), (2, None)]
+    got = {(r.doc_id, r.n_links) for r in jaccard.jaccard_join(docs(spark, rows)).collect()}
+    assert got == {(5, 1), (None, 0), (9, 1), (2, 0)}
+
+
 def test_near_duplicates_defined_cases(spark):
     assert jaccard.near_duplicates(docs(spark, [])).count() == 0
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (9, "a b c d"), (2, None)]

@@ -12,9 +12,12 @@ between those are verified and their components built. Rounds of likely pairs be
 all pairs of different components that share a bucket, each set against the bucket's largest component. So a group of n
 near copies costs far fewer than n * n pairs, and still no link between components is lost.
 
+That is enough for components. For links, a component's sets are then dealt into salted blocks, and each pair of blocks
+verifies every pair of its sets once, on whole sets: a link never leaves its component, so these are all links.
+
 Defined results: a text with fewer words than a shingle has is one shingle of them all; an empty or null text has the
 empty set, is linked with nothing and is its own component. Rows with the same text are one class. A row without a
-doc_id takes no part and has a null component. Other columns are not looked at.
+doc_id takes no part, has a null component and no links. Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -45,6 +48,10 @@ SMALL = 6
 ROUNDS, TRIES, RECENT = 2, 3, 12
 #: So many ids of sets to verify are broadcast at most, 16 MB or so.
 BROADCAST_NODES = 500_000
+#: Of a component, a block holds about so many sets and so many shingles at most; a pair of blocks is verified at once.
+BLOCK_SETS, BLOCK_SHINGLES = 512, 500_000
+#: Columns of the dense matrix whose product counts common shingles.
+_WIDTH = 4096
 _CELLS = 16
 _U = np.uint64
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -309,15 +316,30 @@ def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
 def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
     """Per document: doc_id, n_shingles, component_id (the smallest doc_id reachable by links).
 
-    Links within a component that is known already aren't looked for, so they aren't counted.
+    Links within a component that is known already aren't looked for; jaccard_join() counts them, near_pairs() returns them.
     """
+    return _joined(docs, n, percent, "components")
+
+
+def jaccard_join(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """near_duplicates() with n_links: how many other doc_ids the document is linked with, those with its own set included."""
+    return _joined(docs, n, percent, "links")
+
+
+def near_pairs(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame:
+    """(a, b), a < b: every link between different sets, each set as the smallest doc_id that has it."""
+    return _joined(docs, n, percent, "pairs")
+
+
+def _joined(docs: DataFrame, n: int, percent: int, want: str) -> DataFrame:
     spark, limit = docs.sparkSession, Threshold(percent)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     first = materialize(docs.mapInArrow(_sets(n), _ROW_SQL), "sets")
     counts = _sketch(first)
     rows = first.where("kind = 0")
-    classes = rows.where("doc_id is not null and hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"))
+    docs_of = [F.count_distinct("doc_id").alias("docs")] if want == "links" else []
+    classes = rows.where("doc_id is not null and hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *docs_of)
     classes = materialize(classes, "classes")
     entries = docs.mapInArrow(_prefixes(n, limit, spark.sparkContext.broadcast(counts)), _PREFIX_SQL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -347,13 +369,111 @@ def near_duplicates(docs: DataFrame, n: int = 3, percent: int = 90) -> DataFrame
     if not rest.isEmpty():
         links = materialize_few(links.unionByName(_verified(rest, sets, limit)), "links")
         component = connected_components(links)
+    if want != "components":
+        linked = materialize(_within(component, classes, sets, limit, want), "within")
     discard(found, large, sets, links)
-    known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left").select("hi", "lo", F.coalesce("component", "rep").alias("component_id"))
-    out = rows.where("doc_id is not null and hi is not null").join(known, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
-    alone = rows.where("doc_id is null or hi is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    if want == "pairs":
+        return linked
+    known = classes.join(component.withColumnRenamed("node", "rep"), "rep", "left")
+    found_links = []
+    if want == "links":
+        known = known.join(linked.withColumnRenamed("node", "rep"), "rep", "left").withColumn("n_links", F.coalesce("linked", F.lit(0)) + F.col("docs") - 1)
+        found_links = ["n_links"]
+    known = known.select("hi", "lo", F.coalesce("component", "rep").alias("component_id"), *found_links)
+    out = rows.where("doc_id is not null and hi is not null").join(known, ["hi", "lo"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id", *found_links)
+    none = [F.lit(0).cast("long").alias(c) for c in found_links]
+    alone = rows.where("doc_id is null or hi is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), *none)
     return out.unionByName(alone)
 
 
+def _common(rows: np.ndarray, shingles: np.ndarray, left: np.ndarray, right: np.ndarray, size: int) -> np.ndarray:
+    """How many shingles each set of left has in common with each of right; sets are rows of (row, shingle)."""
+    _, number, times = np.unique(shingles, return_inverse=True, return_counts=True)
+    shared = times > 1  # the others are in one set only
+    kept = shared[number]
+    rows, number = rows[kept], (np.cumsum(shared) - 1)[number[kept]]
+    order = np.argsort(number, kind="stable")
+    rows, number = rows[order], number[order]
+    out, at, columns = np.zeros((len(left), len(right)), np.float32), 0, int(shared.sum())
+    for begin in range(0, columns, _WIDTH):
+        width = min(_WIDTH, columns - begin)
+        end = int(np.searchsorted(number, begin + width))
+        m = np.zeros((size, width), np.float32)
+        m[rows[at:end], number[at:end] - begin] = 1
+        out += m[left] @ m[right].T
+        at = end
+    return out.astype(np.int64)
+
+
+def _block_links(limit: Threshold, want: str):
+    """Streams over sets sorted by (component, i, j): all links between blocks i and j of the component, counted or as pairs."""
+
+    def links(held: list[tuple], inner: bool) -> tuple[np.ndarray, np.ndarray]:
+        node, side, docs, sizes = (np.concatenate([h[k] for h in held]) for k in range(4))
+        rows = np.repeat(np.arange(len(node)), sizes)
+        left, right = (np.arange(len(node)),) * 2 if inner else (np.flatnonzero(~side), np.flatnonzero(side))
+        common = _common(rows, np.concatenate([h[4] for h in held]), left, right, len(node))
+        link = 100 * common >= limit.percent * (sizes[left][:, None] + sizes[right][None, :] - common)
+        link &= node[left][:, None] != node[right][None, :]
+        if want == "pairs":
+            x, y = np.nonzero(np.triu(link) if inner else link)
+            x, y = node[left[x]], node[right[y]]
+            return np.minimum(x, y), np.maximum(x, y)
+        degree = np.zeros(len(node), np.int64)
+        degree[left] += link @ docs[right]
+        if not inner:
+            degree[right] += link.T @ docs[left]
+        return node, degree
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["a", "b"] if want == "pairs" else ["node", "linked"]
+
+        def batch_of(found):
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], names=names)
+
+        key, held = None, []
+        for batch in batches:
+            found = []
+            part, i, j, node, side, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
+            sizes, flat = batch.column(6).value_lengths().to_numpy().astype(np.int64), batch.column(6).flatten().to_numpy()
+            ends = np.concatenate([[0], np.cumsum(sizes)])
+            starts = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()] if len(part) else []
+            for x, y in zip(starts, [*starts[1:], len(part)], strict=True) if starts else []:
+                now = (int(part[x]), int(i[x]), int(j[x]))
+                if now != key and held:
+                    found.append(links(held, key[1] == key[2]))
+                    held = []
+                key = now
+                held.append((node[x:y], side[x:y], docs[x:y], sizes[x:y], flat[ends[x] : ends[y]]))
+            if found:
+                yield batch_of(found)
+        if held:
+            yield batch_of([links(held, key[1] == key[2])])
+
+    return run
+
+
+def _within(component: DataFrame, classes: DataFrame, sets: DataFrame, limit: Threshold, want: str) -> DataFrame:
+    """All links within components: (node, linked), the doc_ids of the classes that a class is linked with, or the pairs (a, b).
+
+    Each pair of sets of a component meets in one pair of blocks. Blocks are salted, so a component with a large part of all
+    sets is many groups of bounded size, and only what is found leaves a group.
+    """
+    parts = int(component.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # a doc_id may have several rows; each of its sets counts once
+    docs = F.col("docs") if want == "links" else F.lit(1).cast("long")
+    sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum(docs).alias("docs"), F.sum("n").alias("n"))
+    member = component.join(sizes, "node")
+    blocks = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    member = materialize_few(member.join(blocks, "component").select("node", "component", "docs", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "members")
+    dealt = sets.dropDuplicates(["node"]).join(member, "node")
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", (F.col("block") > F.col("other")).alias("side"), "docs", "s")
+    dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    found = dealt.mapInArrow(_block_links(limit, want), "a long, b long" if want == "pairs" else "node long, linked long")
+    return found if want == "pairs" else found.groupBy("node").agg(F.sum("linked").alias("linked"))
+
+
 def _owned(large: DataFrame, component: DataFrame) -> DataFrame:
     return large.join(component, "node", "left").withColumn("component", F.coalesce("component", "node"))
 

@@ -32,7 +32,12 @@ def op4_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(reader(spark, sf_dir, "documents"), 3, 90)
+    """The whole join, links included; its SQL has the columns without n_links, which op5_jaccard_links returns."""
+    return op5_jaccard_links(spark, sf_dir).select("doc_id", "n_shingles", "component_id")
+
+
+def op5_jaccard_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(reader(spark, sf_dir, "documents"), 3, 90)
 
 
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +69,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_decontamination": op3_decontamination,
     "op4_html_text": op4_html_text,
     "op5_jaccard_join": op5_jaccard_join,
+    "op5_jaccard_links": op5_jaccard_links,
     "op6_mixing": op6_mixing,
     "op7_toxicity": op7_toxicity,
     "op8_line_dedup": op8_line_dedup,
