@@ -1,4 +1,5 @@
 import json
+import os
 import random
 
 import numpy as np
@@ -131,6 +132,22 @@ def test_votes_equal_brute_force(spark, share):
     assert got == {a: sum(y for _, _, y in d) for a, d in brute(queries, refs, 5, False).items()}
 
 
+def test_queries_beyond_the_broadcast_size(spark, monkeypatch):
+    from txscore.plans.queries import QUERIES
+
+    sf, few = "/root/testdata/sf0.001", {}
+    if not os.path.isdir(sf):
+        pytest.skip("no test tables here")
+    for name in ("embedding_knn", "probe_stats"):
+        few[name] = QUERIES[name](spark, sf).collect()
+    monkeypatch.setattr(C, "BROADCAST_REFERENCES", 0)
+    assert sorted(QUERIES["embedding_knn"](spark, sf).collect()) == sorted(few["embedding_knn"])
+    rows = QUERIES["probe_stats"](spark, sf).collect()
+    for column in ("queries", "votes"):
+        assert sum(r[column] for r in rows) == sum(r[column] for r in few["probe_stats"])
+    assert min(r.partitions_visited for r in rows) >= 1
+
+
 def test_approximate_mode_keeps_its_bound(spark):
     near = [([int(5000 + 9 * x) for x in v], y) for v, y in random_rows(200, 11, range(-99, 99))]
     far = random_rows(60, 12, list(range(-10000, 10001, 100)))

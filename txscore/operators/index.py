@@ -19,10 +19,11 @@ def with_key(vectors: DataFrame) -> DataFrame:
     return vectors.withColumn("pk", partition_key())
 
 
-def bounds(vectors: DataFrame, by: str = "pk") -> DataFrame:
-    """Per group: n, the bit mask of its labels, and l0..l13, h0..h13. One pre-aggregated shuffle of few rows."""
-    low = [F.min(q).alias(f"l{d}") for d, q in enumerate(Q)]
-    high = [F.max(q).alias(f"h{d}") for d, q in enumerate(Q)]
+def bounds(vectors: DataFrame, by: str = "pk", columns: list[str] | None = None) -> DataFrame:
+    """Per group: n, the bit mask of its labels, and l0.., h0.. of its columns. One pre-aggregated shuffle of few rows."""
+    columns = columns or Q
+    low = [F.min(q).alias(f"l{d}") for d, q in enumerate(columns)]
+    high = [F.max(q).alias(f"h{d}") for d, q in enumerate(columns)]
     return vectors.groupBy(by).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1, label)")).cast("int").alias("mask"), *low, *high)
 
 

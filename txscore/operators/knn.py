@@ -23,6 +23,8 @@ from txscore.operators.index import bounds, with_key
 
 _BLOCK = 4_096
 _QUERIES = 512
+#: Rows of a shuffled block of references, and queries of a share.
+BLOCK_ROWS = 50_000
 _NONE = np.float64(1e300)
 
 
@@ -193,8 +195,11 @@ def _block_search(columns: list[str], k: int, leave_out: bool):
     return run
 
 
-def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: int, leave_out: bool, block_rows: int) -> DataFrame:
-    boxes = bounds(references).select("pk", "n", *[f"{s}{d}" for s in "lh" for d in range(len(columns))])
+def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: int, leave_out: bool, block_rows: int) -> tuple[DataFrame, DataFrame]:
+    """The neighbours, and (query_id, partitions): how many partition keys each query reached, for those that reached any."""
+    # new attributes: queries and references of one table could not be told apart in the cogroup
+    references = references.select("pk", "ref_id", "label", *[F.col(c).alias(c) for c in columns])
+    boxes = bounds(references, columns=columns).select("pk", "n", *[f"{s}{d}" for s in "lh" for d in range(len(columns))])
     boxes = F.broadcast(boxes.withColumn("parts", F.ceil(F.col("n") / block_rows)))  # a row a partition key, 256 at most
     blocked = references.join(boxes.select("pk", "parts"), "pk").withColumn("block", F.pmod(F.xxhash64("ref_id"), "parts")).select("pk", "block", "ref_id", "label", *columns)
     nearest = Window.partitionBy("query_id").orderBy("d2", "ref_id")
@@ -209,17 +214,19 @@ def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: in
         found = refs.groupBy(*key).cogroup(dealt.groupBy(*key)).applyInArrow(_block_search(columns, k, leave_out), _ROWS_SQL)
         return found.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
 
-    home = probe(queries.join(boxes.select("pk", "parts"), "pk").withColumn("radius", F.lit(-1).cast("long")))
+    own = queries.join(boxes.select("pk", "parts"), "pk")
+    home = probe(own.withColumn("radius", F.lit(-1).cast("long")))
     radius = home.where(F.col("rank") == k).select("query_id", F.col("d2").alias("radius"))
     known = queries.withColumnRenamed("pk", "own").join(radius, "query_id", "left").withColumn("radius", F.coalesce("radius", F.lit(-1).cast("long")))
     low, high = [F.col(f"l{d}") for d in range(len(columns))], [F.col(f"h{d}") for d in range(len(columns))]
     reach = (F.col("radius") < 0) | (box_bound([F.col(c) for c in columns], low, high) <= F.col("radius"))
     other = known.join(boxes, (F.col("own") != F.col("pk")) & reach).select("pk", "parts", "query_id", "radius", *columns)
     both = home.unionByName(probe(other))
-    return both.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k)
+    reached = own.select("query_id").unionByName(other.select("query_id")).groupBy("query_id").agg(F.count("*").alias("partitions"))
+    return both.withColumn("rank", F.row_number().over(nearest)).where(F.col("rank") <= k), reached
 
 
-def knn(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool = False, strategy: str = "auto", columns: list[str] | None = None, block_rows: int = 50_000, approximate: bool = False) -> DataFrame:
+def knn(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool = False, strategy: str = "auto", columns: list[str] | None = None, block_rows: int = BLOCK_ROWS, approximate: bool = False) -> DataFrame:
     """queries (query_id, q..) and references (ref_id, q.., label) -> (query_id, rank, ref_id, d2, label).
 
     leave_out: a reference with the query's id isn't its neighbour. A query without references has no rows.
@@ -235,7 +242,7 @@ def knn(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool
     if strategy == "broadcast":
         return _broadcast(queries, references, columns, k, leave_out, float(C.EARLY_STOP) if approximate else -1.0)
     if strategy == "blocks":
-        return _blocks(queries, references, columns, k, leave_out, block_rows)
+        return _blocks(queries, references, columns, k, leave_out, block_rows)[0]
     raise ValueError(f"no strategy {strategy}")
 
 
@@ -254,12 +261,17 @@ def _vote_rows(ids: np.ndarray, best: Nearest, seen: np.ndarray) -> pa.RecordBat
 
 
 def vote(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool = False, sent=None) -> DataFrame:
-    """As votes(knn()), without a shuffle, for references of a checked size: (query_id, fraud_count, fraud_score, approved, partitions)."""
+    """As votes(knn()), without a shuffle up to a checked size of references: (query_id, fraud_count, fraud_score, approved, partitions).
+
+    partitions: how many partition keys the query had to visit. Blocks may visit others than the broadcast search does.
+    """
     from txscore.functions.scalar import decision
 
     if sent is None:
         if references.count() > C.BROADCAST_REFERENCES:
-            return votes(queries, knn(queries, references, k, leave_out, "blocks"))
+            found, reached = _blocks(with_key(queries), with_key(references), Q, k, leave_out, BLOCK_ROWS)
+            none = F.coalesce("partitions", F.lit(0).cast("long")).alias("partitions")
+            return votes(queries, found).join(reached, "query_id", "left").select("query_id", "fraud_count", "fraud_score", "approved", none)
         sent = queries.sparkSession.sparkContext.broadcast(collect_references(with_key(references), Q))
     rows = with_key(queries).select("query_id", "pk", *Q)
     if not queries.isStreaming:
