@@ -320,3 +320,15 @@ def test_templates_go(spark, limit):
     assert got[200] == "Every page says so."
     empty = spark.createDataFrame([], "page_id long, url string, html string")
     assert html_text.main_text(empty).count() == 0
+
+
+def test_copies_are_no_template(spark):
+    r, rows = random.Random(8), []
+    for k in range(30):
+        own = f"<div><p>{words(r, 9)} {k}</p></div>" if k >= 10 else "<div><p>the copied page</p></div>"
+        rows.append((k, "http://a.com/", page(f"{own}<section><p>All rights kept.</p></section>")))
+    rows += [(100 + k, "http://b.com/", page(f"<div>{'<!-- x -->' * k}<p>same words</p></div>".replace("<div>", f"<i id=n{k}></i><div>"))) for k in range(6)]
+    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == "the copied page" for k in range(10))
+    assert all(got[k].endswith(f" {k}") and "rights" not in got[k] for k in range(10, 30))
+    assert all(got[100 + k] == "same words" for k in range(6))

@@ -5,14 +5,16 @@ the page, asides, forms, scripts, hidden parts, and elements whose class, id or
 a sidebar or reader comments. The article is in the article elements, else in the main element, else in what is left.
 
 The rest of a site's template has no telling names but recurs: the subtrees that are left are hashed, Spark counts on how
-many pages of its host each hash occurs, and subtrees that recur across many pages of their host are deleted. Inside an
-article element only containers can be template, not paragraphs, headings and lists' items, since authors repeat lines.
+many different pages of its host each hash occurs, and subtrees that recur across many of them are deleted. Equal pages of
+a host are one page for the counts (unless the host has no other), and a subtree with all of a page's text stays. Inside an article
+element only containers can be template, not paragraphs, headings and lists' items, since authors repeat lines.
 
-Counts are one row for each (host, hash), pre-aggregated in each task, so a host with a third of all pages is no hot key.
+Counts are one row for each (host, hash), dealt by page before they are added, so a large host is no hot key.
 The templates found are broadcast up to BROADCAST_TEMPLATES rows; beyond, each page gets its own by a join.
 
 Defined results: null html is empty; a page without an article's text has the empty text. A null url is the host "".
-Repeated rows are extracted one by one; for the counts a page is a row. Other columns are left out.
+Repeated rows are extracted one by one; for the counts rows with equal html on a host are one page. Where all of a
+page's text would go as template, nothing of it does. Other columns are left out.
 """
 
 from __future__ import annotations
@@ -190,9 +192,25 @@ class Page:
                     out.append((e, xxhash.xxh3_64_intdigest(" ".join(self.source[self.begins[e] : self.ends[e]].split()).encode("utf-8", "surrogatepass")) - (1 << 63)))
         return out
 
+    def _whole(self, roots: set[int]) -> set[int]:
+        """The elements that hold all of the article's text."""
+        under = [False] * len(self.tags)
+        for e in range(len(self.tags)):
+            under[e] = (e in roots or self.parents[e] >= 0 and under[self.parents[e]]) and not self.dropped[e]
+        common: set[int] | None = None
+        for e in {e for e, _, t in self.texts if under[e] and not t.isspace()}:
+            above = set()
+            while e > 0:
+                above.add(e)
+                e = self.parents[e]
+            common = above if common is None else common & above
+        return common or set()
+
     def text(self, template: frozenset[int] | set[int]) -> str:
         roots = set(self.roots())
         gone = {e for e, h in self.candidates() if h in template} if template else set()
+        if gone:
+            gone -= self._whole(roots)
         kept = [False] * len(self.tags)
         for e in range(len(self.tags)):
             kept[e] = (e in roots or self.parents[e] >= 0 and kept[self.parents[e]]) and not self.dropped[e] and e not in gone
@@ -201,26 +219,22 @@ class Page:
             if kept[e]:
                 blocks.setdefault(block, []).append(html_lib.unescape(text) if "&" in text else text)
         lines = (" ".join("".join(b).split()) for b in blocks.values())
-        return "\n".join(x for x in lines if x)
+        out = "\n".join(x for x in lines if x)
+        return out if out or not gone else self.text(frozenset())
 
 
 def _hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(host, hash, n) once for each host and hash of a task, up to a bound of rows held; hash null: the host's pages."""
-    counts: dict[tuple[str, int | None], int] = {}
-
-    def rows():
-        keys = list(counts)
-        return pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())], names=["host", "hash", "n"])
-
+    """(host, hash, page) for each subtree's hash of a page, and with a null hash; page is a hash of the html."""
     for batch in batches:
+        hosts, hashes, pages = [], [], []
         for host, source in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            for h in {None, *(h for _, h in Page(source or "").candidates())}:
-                counts[host, h] = counts.get((host, h), 0) + 1
-        if len(counts) >= 200_000:
-            yield rows()
-            counts.clear()
-    if counts:
-        yield rows()
+            source = source or ""
+            found = {None, *(h for _, h in Page(source).candidates())}
+            hosts += [host] * len(found)
+            hashes += found
+            pages += [xxhash.xxh3_128_digest(source.encode("utf-8", "surrogatepass"))] * len(found)
+        if hosts:
+            yield pa.RecordBatch.from_arrays([pa.array(hosts, pa.string()), pa.array(hashes, pa.int64()), pa.array(pages, pa.binary())], names=["host", "hash", "page"])
 
 
 def _host(url):
@@ -230,11 +244,14 @@ def _host(url):
 def templates(pages: DataFrame, min_pages: int = MIN_PAGES, min_share: float = MIN_SHARE) -> DataFrame:
     """(host, hash) of the subtrees that recur across many pages of their host."""
     small_batches(pages.sparkSession, 500)
-    counts = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(_hashes, "host string, hash long, n long").groupBy("host", "hash").agg(F.sum("n").alias("n"))
-    counts = materialize(counts, "subtrees")
+    found = pages.select(_host(F.col("url")).alias("host"), "html").mapInArrow(_hashes, "host string, hash long, page binary")
+    # the distinct count is dealt by page first, so a host with a third of all pages is no hot key
+    counts = materialize(found.groupBy("host", "hash").agg(F.count_distinct("page").alias("n"), F.count("page").alias("copies")), "subtrees")
     hosts = counts.where("hash is null").select("host", F.col("n").alias("pages"))
-    often = counts.where(f"hash is not null and n >= {int(min_pages)}")
-    return materialize(often.join(hosts, "host").where(F.col("n") >= min_share * F.col("pages")).select("host", "hash"), "templates")
+    often = counts.where(f"hash is not null and copies >= {int(min_pages)}").join(hosts, "host")
+    # nothing differs on a host with one page only; there its copies count
+    some = (F.col("pages") == 1) | (F.col("n") >= int(min_pages)) & (F.col("n") >= min_share * F.col("pages"))
+    return materialize(often.where(some).select("host", "hash"), "templates")
 
 
 def _extract(sent):
