@@ -332,3 +332,19 @@ def test_copies_are_no_template(spark):
     assert all(got[k] == "the copied page" for k in range(10))
     assert all(got[k].endswith(f" {k}") and "rights" not in got[k] for k in range(10, 30))
     assert all(got[100 + k] == "same words" for k in range(6))
+
+
+@pytest.mark.parametrize(
+    "source",
+    [
+        "<main class='content has-sidebar'><p>x</p></main>",
+        "<article class='post no-comments'><p>x</p></article>",
+        "<div class='content-area with-sidebar'><article><p>x</p></article></div>",
+        "<div class='sidebar'><article><p>x</p></article></div>",
+        "<div class='page comments-open'><p>x</p></div>",
+        "<article><p>x</p></article><article class='comment'><p>no</p></article><div class='sidebar'><article><p>no</p></article></div>",
+    ],
+)
+def test_names_keep_articles(source):
+    assert html_text.Page(page(source)).text(frozenset()) == "x"
+    assert html_text.Page(page("<div class='comment'><article><p>no</p></article></div>")).text(frozenset()) == ""

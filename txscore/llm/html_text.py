@@ -43,6 +43,9 @@ DROP = frozenset("nav footer aside form script style noscript template iframe ob
 CONTAINER = frozenset("div section ul ol dl table aside header figure details fieldset center".split())
 # Words of class, id and role names.
 JUNK = frozenset("nav navbar navigation navigations menu menus submenu topbar sidebar sidebars side rail ad ads adv advert adverts advertisement advertisements adsense adslot banner banners promo promos promotion sponsor sponsored sponsors cookie cookies consent gdpr notice notices alert popup popups modal overlay newsletter subscribe subscription signup share sharing social breadcrumb breadcrumbs pagination pager related recommend recommended recommendations comment comments commentlist disqus respond replies reply footer header masthead widget widgets toolbar skip skiplink search login complementary contentinfo copyright".split())
+# A class token with one of these parts tells of a state or a layout; and tokens that name comments or adverts as a whole.
+MODIFIER = re.compile(r"^(?:has|no|not|with|without|is)[-_]|[-_](?:open|opened|closed|enabled|disabled|visible|active|on|off|left|right)$")
+NAMED = frozenset("comment comments commentlist ad ads adv advert adverts advertisement advertisements adsense".split())
 OWN = frozenset("article post entry story content main body text".split())
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*|[^>]*)>", re.S)
@@ -61,9 +64,24 @@ class Page:
         self.source = source
         self.tags, self.parents, self.dropped, self.begins, self.ends = ["#root"], [-1], [False], [0], [len(source)]
         self.inside = [False]  # an article or main element
+        self.hard = [False]  # dropped for itself, by tag, state or as a comment or an advert
+        self.weak = [False]  # dropped by its name only, and not as a comment or an advert
         #: (element, block, text); texts of one block are one paragraph
         self.texts: list[tuple[int, int, str]] = []
         self._read()
+        self._keep_articles()
+
+    def _keep_articles(self) -> None:
+        """Where names would drop every article and main element, those elements and what they are in stay."""
+        articles = [e for e, tag in enumerate(self.tags) if tag in ("article", "main")]
+        if not articles or not all(self.dropped[e] for e in articles):
+            return
+        for e in articles:
+            while e >= 0:
+                self.weak[e] = False
+                e = self.parents[e]
+        for e in range(1, len(self.tags)):
+            self.dropped[e] = self.dropped[self.parents[e]] or self.hard[e] or self.weak[e]
 
     def _read(self) -> None:
         source, tags, texts = self.source, self.tags, self.texts
@@ -104,10 +122,11 @@ class Page:
 
     def _open(self, stack: list[int], tag: str, attributes: str, at: int) -> None:
         parent = stack[-1]
-        dropped = self.dropped[parent] or tag in DROP
         inside = self.inside[parent]
-        if not dropped:
-            dropped = tag == "header" and not inside or bool(attributes) and len(attributes) > 3 and self._named_junk(tag, attributes)
+        junk = self._named_junk(tag, attributes) if len(attributes) > 3 else 0
+        self.hard.append(tag in DROP or tag == "header" and not inside or junk == 2)
+        self.weak.append(junk == 1)
+        dropped = self.dropped[parent] or self.hard[-1] or self.weak[-1]
         self.tags.append(tag)
         self.parents.append(parent)
         self.dropped.append(dropped)
@@ -117,21 +136,25 @@ class Page:
         stack.append(len(self.tags) - 1)
 
     @staticmethod
-    def _named_junk(tag: str, attributes: str) -> bool:
+    def _named_junk(tag: str, attributes: str) -> int:
+        """0: no; 1: by a name; 2: hidden, or a token is the name of comments or adverts."""
         if tag in ("html", "body"):
-            return False
+            return 0
+        out = 0
         for name, a, b, c in _ATTRIBUTE.findall(attributes):
             name, value = name.lower(), (a or b or c).lower()
             if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and _HIDDEN.search(value):
-                return True
+                return 2
             if name in ("class", "id", "role"):
                 for part in value.split():
+                    if part in NAMED:
+                        return 2
+                    if MODIFIER.search(part):
+                        continue
                     words = set(_NAMES.findall(part))
-                    if words & JUNK and not words & OWN:
-                        return True
-                    if words & {"comment", "comments", "sidebar", "ad", "ads", "related", "share"}:
-                        return True
-        return False
+                    if words & JUNK and not words & OWN or words & {"comment", "comments", "sidebar", "ad", "ads", "related", "share"}:
+                        out = 1
+        return out
 
     def _pop(self, stack: list[int], depth: int, at: int) -> None:
         while len(stack) > depth:
