@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from txscore.llm import decontaminate, html_text, jaccard, line_dedup, tokens
+from txscore.llm import decontaminate, jaccard, line_dedup, tokens
 from txscore.llm.components import connected_components
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, token long, component string"
@@ -274,77 +274,3 @@ def test_tokens_equal_brute_force(spark, monkeypatch):
     split = [[x for x in re.split("[\x20\x09-\x0d]+", t or "") if x] for t in texts]
     assert got == {k: (len(w), sum(brute_tokens(x, pieces) for x in w)) for k, w in enumerate(split)}
     assert tokens.count_tokens(docs(spark, []), pieces=pieces).count() == 0
-
-
-# pages
-
-
-def page(body, head=""):
-    return f"<!DOCTYPE html><html><head><title>t</title>{head}</head><body>{body}</body></html>"
-
-
-@pytest.mark.parametrize(
-    ("source", "text"),
-    [
-        (page("<nav>menu</nav><article><h1>T &amp; t</h1><p>a  b\n c<p><b>d<br>e</b></article><footer>f</footer>"), "T & t\na b c\nd e"),
-        (page("<header>h</header><main><p>x</p><aside>s</aside><form>f</form></main>"), "x"),
-        (page("<div class='sidebar'>s</div><div class=content><p>x</p><div id=comments>c</div></div>"), "x"),
-        (page("<p>a</p><script>var t='</p>';</script><style>p{}</style><!-- c --><p>b &lt;i&gt; &#x41;&nbsp;z</p>"), "a\nb <i> A z"),
-        (page("<article><p>1 < 2 and 3 > 2</p><p hidden>no</p><p style='display: none'>no</p></article>"), "1 < 2 and 3 > 2"),
-        (page("<article><ul><li>a<li>b</ul><table><tr><td>c<td>d</table></article><article class='comment'><p>no</p></article>"), "a\nb\nc\nd"),
-        (page("<article class='post-content'><header><h1>T</h1></header><div class='share-buttons'>s</div><p>x</p></article>"), "T\nx"),
-        ("plain text", "plain text"),
-        ("", ""),
-        (None, ""),
-        ("<p>unclosed <b>x <a href='", "unclosed x <a href='"),
-        (page("<script>never closed"), ""),
-    ],
-)
-def test_page_text(source, text):
-    assert html_text.Page(source or "").text(frozenset()) == text
-
-
-@pytest.mark.parametrize("limit", [1000, 0])
-def test_templates_go(spark, limit):
-    r = random.Random(1)
-    rows = []
-    for k in range(30):
-        top = "<div><span>Welcome to our site</span></div>" if k % 3 else "<div>own</div>"
-        rows.append((k, f"https://U:p@A.com:80/{k}?x", page(f"{top}<div><p>{words(r, 9)} {k}</p></div><section><p>All rights kept.</p></section>"), "x"))
-    rows += [(100, "http://b.com/", page("<div><span>Welcome to our site</span></div><p>b</p>"), "x"), (101, None, None, "x"), (102, "nonsense", page("<article><p>z</p></article>"), "x")]
-    rows += [(200 + k, "http://c.com", page("<article><p>Every page says so.</p><div>Subscribe now!</div></article>"), "x") for k in range(9)]
-    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string, host string"), broadcast_rows=limit).collect()}
-    for k in range(30):
-        assert got[k].endswith(f" {k}") and "Welcome" not in got[k] and "rights" not in got[k]
-    assert got[100] == "Welcome to our site\nb" and got[101] == "" and got[102] == "z"
-    assert got[200] == "Every page says so."
-    empty = spark.createDataFrame([], "page_id long, url string, html string")
-    assert html_text.main_text(empty).count() == 0
-
-
-def test_copies_are_no_template(spark):
-    r, rows = random.Random(8), []
-    for k in range(30):
-        own = f"<div><p>{words(r, 9)} {k}</p></div>" if k >= 10 else "<div><p>the copied page</p></div>"
-        rows.append((k, "http://a.com/", page(f"{own}<section><p>All rights kept.</p></section>")))
-    rows += [(100 + k, "http://b.com/", page(f"<div>{'<!-- x -->' * k}<p>same words</p></div>".replace("<div>", f"<i id=n{k}></i><div>"))) for k in range(6)]
-    got = {x.page_id: x.text for x in html_text.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert all(got[k] == "the copied page" for k in range(10))
-    assert all(got[k].endswith(f" {k}") and "rights" not in got[k] for k in range(10, 30))
-    assert all(got[100 + k] == "same words" for k in range(6))
-
-
-@pytest.mark.parametrize(
-    "source",
-    [
-        "<main class='content has-sidebar'><p>x</p></main>",
-        "<article class='post no-comments'><p>x</p></article>",
-        "<div class='content-area with-sidebar'><article><p>x</p></article></div>",
-        "<div class='sidebar'><article><p>x</p></article></div>",
-        "<div class='page comments-open'><p>x</p></div>",
-        "<article><p>x</p></article><article class='comment'><p>no</p></article><div class='sidebar'><article><p>no</p></article></div>",
-    ],
-)
-def test_names_keep_articles(source):
-    assert html_text.Page(page(source)).text(frozenset()) == "x"
-    assert html_text.Page(page("<div class='comment'><article><p>no</p></article></div>")).text(frozenset()) == ""
