@@ -191,6 +191,46 @@ def test_neighbours_recall_and_order(spark, monkeypatch):
     assert hits / (20 * len(want)) >= 0.9
 
 
+@pytest.mark.parametrize("scale", [1e-140, 1e-6, 1.0, 8e6, 1e9, 1e150])
+def test_neighbours_at_all_magnitudes(spark, scale):
+    r = np.random.default_rng(7)
+    x = r.normal(size=(60, 16)) * scale * np.where(np.arange(60)[:, None] % 7 == 0, 1e-3, 1.0)
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = {}
+    for row in ann.search(rows).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    want = brute_nearest(list(range(60)), x)
+    assert {q: [(v, s) for _, v, s in sorted(f)] for q, f in got.items()} == want
+
+
+def test_neighbours_where_leaves_are_split(spark, monkeypatch):
+    """Every row can be found, rows in crowded places too, and queries that calibrated nothing have their recall."""
+    for name, value in {"LEAF_ROWS": 30, "SPLIT_ROWS": 100, "SAMPLE_ROWS": 300, "REFINE_ROWS": 400, "CALIBRATION": 40, "CHUNK": 64, "QUERIES": 16}.items():
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(12, 10))
+    x = centres[r.integers(12, size=4000)] + 0.3 * r.normal(size=(4000, 10))
+    x[1000:2300] = x[1000]
+    rows = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "vec_id long, embedding array<double>").repartition(5)
+    got = {}
+    for row in ann.search(rows).collect():
+        got.setdefault(row.query_id, []).append((row["rank"], row.vec_id, row.score))
+    want = brute_nearest(list(range(4000)), x)
+    assert set(got) == set(want)
+    recall = []
+    for q, found in got.items():
+        assert [n for n, _, _ in sorted(found)] == list(range(1, 21)) and len({v for _, v, _ in found}) == 20
+        recall.append(np.mean([s >= want[q][-1][1] for _, _, s in found]))
+    calibrated = {row.vec_id for row in ann.hashed_sample(rows.where("vec_id % 20 = 0"), "vec_id", 40, 9).collect()}
+    assert np.mean([m for q, m in zip(got, recall, strict=True) if q not in calibrated]) >= 0.9
+
+
+def test_neighbours_of_one_id_with_two_vectors(spark):
+    rows = [[1.0, 0.0], [0.0, 1.0], [3.0, 0.0], [0.0, 4.0], [0.0, 4.0]]
+    got = [(r.query_id, r["rank"], r.vec_id, r.score) for r in ann.search(vectors(spark, rows, [20, 20, 1, 2, 2])).orderBy("rank").collect()]
+    assert got == [(20, 1, 2, 4.0), (20, 2, 1, 3.0), (20, 3, 1, 0.0), (20, 4, 2, 0.0)]
+
+
 def test_neighbours_defined_cases(spark):
     rows = [None, [0, 0], [1, None], [1, float("nan")], [1, float("inf")], [1, 2, 3], [1, 1], [1, 1], [2, 0], [0, 1]]
     ids = [0, 20, 40, 60, 80, 100, 120, 120, 7, 9]
