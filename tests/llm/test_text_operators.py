@@ -1,4 +1,5 @@
 import hashlib
+import itertools
 import random
 import re
 
@@ -151,30 +152,37 @@ def test_connected_components(spark):
 
 
 def brute_lines(rows, least):
-    full = []  # (doc, line, text, words)
-    for d, t in sorted((d, t) for d, t in set(rows) if d is not None and t is not None):
-        full += [(d, k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
-    seen, gone = {}, set()
-    by_doc = {}
-    for row in full:
-        by_doc.setdefault(row[0], []).append(row)
-    for d, lines in by_doc.items():
-        for a in range(len(lines)):
-            for b in range(a, len(lines)):
-                n = sum(x[3] for x in lines[a : b + 1])
-                if n >= least:
-                    key = tuple(x[2] for x in lines[a : b + 1])
-                    shortest = min(n - lines[a][3], n - lines[b][3]) < least
-                    if key in seen:
-                        # of every repeated run the full lines go, of the shortest ones blank lines as well
-                        gone |= {(d, k) for k in range(lines[a][1], lines[b][1] + 1)} if shortest else {(d, x[1]) for x in lines[a : b + 1]}
-                    else:
-                        seen[key] = (d, a)
+    """Every run of lines by its contents; the later copies of shortest passages, joined where they touch, go but for their first copy."""
+    by_doc = {}  # (line, text, words) of the lines with words
+    for d, t in sorted({(d, t) for d, t in rows if d is not None and t is not None}):
+        by_doc[d] = [(k, x, len(re.findall(r"[^\x20\x09-\x0D]+", x))) for k, x in enumerate(t.split("\n")) if re.search(r"[^\x20\x09-\x0D]", x)]
+    places = {}
+    for d, full in by_doc.items():
+        for a in range(len(full)):
+            for b in range(a, len(full)):
+                n = sum(x[2] for x in full[a : b + 1])
+                if n >= least and min(n - full[a][2], n - full[b][2]) < least:
+                    places.setdefault(tuple(x[1] for x in full[a : b + 1]), []).append((d, a, b))
+    diagonals = {}
+    for found in places.values():
+        first = min(found)
+        for d, a, b in found:
+            if (d, a) != first[:2]:
+                diagonals.setdefault((d, first[0], a - first[1]), set()).update(range(a, b + 1))
+    gone = set()
+    for (d, source, away), lines in diagonals.items():
+        line = {k: x[0] for k, x in enumerate(by_doc[d])}
+        for a in sorted(k for k in lines if k - 1 not in lines):
+            b = next(k for k in itertools.count(a) if k + 1 not in lines)
+            first_copy = range(line[a - away], line[b - away] + 1) if source == d else ()
+            gone |= {(d, k) for k in range(line[a], line[b] + 1) if k not in first_copy}
     return {(d, t): t if d is None or t is None or not any(g == d for g, _ in gone) else "\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone) for d, t in rows}
 
 
 @pytest.mark.parametrize("seed", range(3))
-def test_lines_equal_brute_force(spark, seed):
+def test_lines_equal_brute_force(spark, seed, monkeypatch):
+    monkeypatch.setattr(line_dedup, "HOT_ROWS", [2, 10, 10**6][seed])
+    monkeypatch.setattr(line_dedup, "BROADCAST_LINES", [0, 10**6, 0][seed])
     r = random.Random(seed)
     pool = [words(r, r.choice([1, 2, 3, 7])) for _ in range(6)] + ["", "  ", "ü"]
     rows = [(k, "\n".join(r.choice(pool) for _ in range(r.randrange(1, 9)))) for k in range(25)]
@@ -195,6 +203,31 @@ def test_lines_defined_cases(spark):
         line_dedup.repeated_lines(docs(spark, []), 0)
 
 
+def test_first_copy_stays_where_copies_overlap(spark):
+    line = words(random.Random(1), 10)
+    texts = ["\n".join([line] * 30), "\n".join([line, line + " b"] * 20), "\n".join(f"{line} {k % 3} {j}" for j in range(2) for k in range(30))]
+    got = [r.text.split("\n") for r in line_dedup.dedup_lines(docs(spark, texts)).orderBy("doc_id").collect()]
+    assert got[0] == [line] * 5
+    assert 5 <= len(got[1]) <= 6 and set(got[1]) == {line, line + " b"}
+    assert set(got[2]) == set(texts[2].split("\n")) and 10 <= len(got[2]) <= 16
+
+
+def test_maximal_runs(spark):
+    passage = [words(random.Random(k), 20) for k in range(8)]
+    texts = ["\n".join(["a", *passage, "b"]), "\n".join(["c", "", *passage[:3], "", *passage[3:], "d", *passage[:2]])]
+    got = sorted((r._doc, r.top, r.bottom, r.first_doc, r.first_top) for r in line_dedup.maximal_runs(docs(spark, texts)).collect())
+    assert got == [(1, 2, 10, 0, 1)]
+
+
+def test_lines_keep_columns_of_any_name(spark):
+    names = ["doc_id", "text", "gone", "_doc", "_hash", "_lines", "_row", "_text", "line", "a.b", "times"]
+    line = words(random.Random(1), 60)
+    rows = [(k, f"{k}\n{line}", *[f"{n}{k}" for n in names[2:]]) for k in range(3)]
+    out = line_dedup.dedup_lines(spark.createDataFrame(rows, names))
+    assert out.columns == [*names, "n_lines", "n_removed"]
+    assert sorted(map(tuple, out.collect())) == [(k, f"0\n{line}" if not k else str(k), *rows[k][2:], 2, int(k > 0)) for k in range(3)]
+
+
 def test_lines_run_no_python(spark):
     plan = line_dedup.dedup_lines(docs(spark, ["a"]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)

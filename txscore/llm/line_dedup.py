@@ -2,20 +2,26 @@
 
 Every distinct repeated line gets a number; a document is the sequence of the numbers of its lines. Prefix doubling ranks
 the suffixes by their first 1, 2, 4, ... lines: the rank of 2h lines at a place is the rank of the pair of the ranks of h
-lines there and h lines on. Places that share a rank are an interval of the suffix array whose longest common prefix is
-at least that long; places whose prefix occurs once leave the computation.
-
-A run counts as a passage if it has at least min_words words. For each line the shortest passage that begins with it and
-the shortest that ends with it are looked up: a passage of m lines is the pair of ranks of its first and its last h lines,
-where h is the largest power of two up to m, so equal pairs are one interval. The passages of an interval but the first
-(by doc_id, then by line) are later copies. Together these passages cover just the lines of the maximal repeated runs of
-at least min_words words, so the later copies of such runs go, line by line, and the first copy stays. Since a line that
-counts has a word, a passage has at most min_words lines, and about log2(min_words) doublings are enough.
-
-Defined results: lines are split at \\n and compared exactly; blank lines count for nothing, but those inside a
-shortest passage that goes go with it. A null or
-empty text stays as it is. Rows without a doc_id take no part and stay. Rows that repeat doc_id and text are one document.
-Within a document a later copy goes as well. Other columns pass through.
+lines there and h lines on. Places that share a rank are the interval of the suffix array whose longest common prefix is at
+least h lines; places whose prefix occurs once leave the computation. Intervals of other lengths are pairs of ranks: those
+of the first and of the last h lines, where h is the largest power of two up to the length. So no task ever scans the
+array's neighbours, and a line that a third of all rows share is no hot group.
+
+A passage is a run of at least min_words words that is the shortest such run from its first line or up to its last. In the
+interval of a passage the first place (by doc_id, then by line) is the first copy, the others are later ones. Later
+copies that lie side by side, at one distance from first copies of one document, are joined: these are the maximal
+repeated runs, since every repeated run of that many words is made of passages. Of a maximal run the lines go that aren't
+lines of its own first copy, which a run that repeats within a document may overlap. So of 30 equal lines of 10 words the
+first 5 stay. Doubling ends at the longest passage, which has at most min_words lines that count: a longer run is the
+passages that make it up.
+
+Keys that many rows share (of every rank at most one in HOT_SHARE of the rows, so their table has a bound) are joined by
+broadcast and dealt over all tasks; the others are joined by a shuffle.
+
+Defined results: lines are split at \\n and compared exactly; blank lines count for nothing, but those inside a run that
+goes go with it. A null or empty text stays as it is. Rows without a doc_id take no part and stay. Rows that repeat doc_id
+and text are one document. Within a document a later copy goes as well. Other columns pass through, whatever their names
+are. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -27,14 +33,14 @@ from pyspark.sql.window import Window
 from txscore.llm._common import materialize
 
 MIN_WORDS = 50
+#: A key is hot if it has more than one in so many rows, and HOT_ROWS at least.
+HOT_SHARE, HOT_ROWS = 20_000, 1000
+#: Removed lines up to which they are broadcast to the documents, so that these aren't shuffled.
+BROADCAST_LINES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _KEY = ["_doc", "_hash"]
 
 
-def _keys(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_doc", F.col("doc_id")).withColumn("_hash", F.xxhash64("text"))
-
-
 def _full_lines(text: Column) -> Column:
     """(place in the text, line) of the lines that have a word."""
     numbered = F.transform(F.split(text, "\n"), lambda x, i: F.struct(i.alias("i"), x.alias("x")))
@@ -43,18 +49,32 @@ def _full_lines(text: Column) -> Column:
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(_doc, _hash, pos, line, n, k1, k2): of the lines that have words their number among these and in the text, words, hashes."""
-    rows = _keys(docs.where("doc_id is not null and text is not null").select("doc_id", "text"))
+    rows = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash"), F.posexplode(_full_lines(F.col("text"))).alias("pos", "l"))
     line = F.col("l.x")
-    out = rows.select(*_KEY, F.posexplode(_full_lines(F.col("text"))).alias("pos", "l"))
-    return out.select(*_KEY, "pos", F.col("l.i").alias("line"), F.regexp_count(line, F.lit(_WORD)).alias("n"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"))
+    return rows.select(*_KEY, "pos", F.col("l.i").alias("line"), F.regexp_count(line, F.lit(_WORD)).alias("n"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"))
+
+
+def _join(rows: DataFrame, groups: DataFrame, by: list[str], values: list[str]) -> DataFrame:
+    """rows inner join groups (by, values, times), where a group has `times` rows and any group may have most of them.
+
+    Rows of hot groups get theirs by broadcast; they go to the join as well, but under a salt of their own, so they spread.
+    """
+    total = groups.agg(F.sum("times")).first()[0] or 0
+    hot = groups.where(F.col("times") > max(HOT_ROWS, total // HOT_SHARE))
+    hot = hot.select(*by, F.struct(*values).alias("_hot"))
+    cold = groups.where(F.col("times") <= max(HOT_ROWS, total // HOT_SHARE)).select(*by, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1024)).cast("int"))
+    both = rows.join(F.broadcast(hot), by, "left").withColumn("_salt", salt).join(cold, [*by, "_salt"], "left")
+    both = both.withColumn("_value", F.coalesce("_hot", "_cold")).where("_value is not null")
+    return both.select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
 
 
 def _ranked(pairs: DataFrame, by: list[str], name: str) -> DataFrame:
     """Adds rank: the number of a row's `by` in their order. Rows whose `by` occurs once are left out."""
-    groups = pairs.groupBy(*by).agg(F.count("*").alias("_times")).where("_times > 1").drop("_times")
+    groups = pairs.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1")
     # the partitions of a sort are ranges, so these numbers follow the order; written down, they stay
     groups = materialize(groups.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
-    return materialize(pairs.join(groups, by).drop(*by), name)
+    return materialize(_join(pairs, groups, by, ["rank"]).drop(*by), name)
 
 
 def _passages(lines: DataFrame, min_words: int) -> DataFrame:
@@ -65,9 +85,9 @@ def _passages(lines: DataFrame, min_words: int) -> DataFrame:
     rows = rows.withColumn("end", F.sum("n").over(own.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))).withColumn("begin", F.col("end") - F.col("n"))
     on, back = own.orderBy("begin").rangeBetween(0, min_words - 1), own.orderBy("end").rangeBetween(1 - min_words, 0)
     rows = rows.select(*_KEY, "pos", "line", F.max("line").over(on).alias("bottom"), F.min("line").over(back).alias("top"), "begin", "end", F.count("*").over(on).alias("m"), F.max("end").over(on).alias("far"), F.count("*").over(back).alias("m_back"), F.min("begin").over(back).alias("near"))
-    forward = rows.where(F.col("far") - F.col("begin") >= min_words).select(*_KEY, "pos", "m", F.col("line").alias("top"), "bottom")
-    backward = rows.where(F.col("end") - F.col("near") >= min_words).select(*_KEY, (F.col("pos") - F.col("m_back") + 1).alias("pos"), F.col("m_back").alias("m"), "top", F.col("line").alias("bottom"))
-    return forward.unionByName(backward).distinct()
+    forward = F.when(F.col("far") - F.col("begin") >= min_words, F.struct("pos", "m", F.col("line").alias("top"), "bottom"))
+    backward = F.when(F.col("end") - F.col("near") >= min_words, F.struct((F.col("pos") - F.col("m_back") + 1).cast("int").alias("pos"), F.col("m_back").alias("m"), "top", F.col("line").alias("bottom")))
+    return rows.select(*_KEY, F.explode(F.array_compact(F.array(forward, backward))).alias("s")).select(*_KEY, "s.*").distinct()
 
 
 def suffix_ranks(lines: DataFrame, levels: int) -> list[DataFrame]:
@@ -80,11 +100,15 @@ def suffix_ranks(lines: DataFrame, levels: int) -> list[DataFrame]:
     return out
 
 
-def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """(_doc, _hash, gone): of each document that loses lines, their numbers."""
+def maximal_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """The later copies of the maximal repeated runs, as lines top to bottom of (_doc, _hash).
+
+    first_doc and first_top tell where the first copy is; first_bottom is the last line of a first copy in the
+    same document, else null.
+    """
     if min_words < 1:
         raise ValueError("min_words must be at least 1")
-    lines = _ranked(_lines(docs), ["k1", "k2"], "lines")
+    lines = _ranked(materialize(_lines(docs), "all-lines"), ["k1", "k2"], "lines")
     passages = materialize(_passages(lines, min_words), "passages")
     most = passages.agg(F.max("m")).first()[0] or 1
     ranks = suffix_ranks(lines, most.bit_length() - 1)
@@ -97,24 +121,42 @@ def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     first = table.withColumnRenamed("rank", "a")
     last = table.select(*_KEY, "level", F.col("pos").alias("_at"), F.col("rank").alias("b"))
     known = sized.join(first, [*_KEY, "level", "pos"]).withColumn("_at", F.expr("pos + m - shiftleft(1L, level)")).join(last, [*_KEY, "level", "_at"])
-    known = materialize(known.select(*_KEY, "pos", "m", "top", "bottom", "a", "b").distinct(), "known")
+    known = materialize(known.select(*_KEY, "pos", "m", "top", "bottom", "a", "b"), "known")
     place = F.struct(*_KEY, "pos")
-    starts = known.groupBy("m", "a", "b").agg(F.min(place).alias("first"), F.count("*").alias("times")).where("times > 1").drop("times")
-    later = known.join(starts, ["m", "a", "b"]).where(place > F.col("first"))
-    gone = later.select(*_KEY, F.explode(F.sequence("top", "bottom")).alias("line"))
-    return gone.groupBy(*_KEY).agg(F.collect_set("line").alias("gone"))
+    starts = known.groupBy("m", "a", "b").agg(F.min(F.struct(*_KEY, "pos", "top", "bottom")).alias("first"), F.count("*").alias("times")).where("times > 1")
+    copies = _join(known, materialize(starts, "intervals"), ["m", "a", "b"], ["first"])
+    later = copies.where(place > F.struct("first._doc", "first._hash", "first.pos"))
+    later = later.select(*_KEY, "pos", (F.col("pos") + F.col("m")).alias("end"), "top", "bottom", F.col("first._doc").alias("first_doc"), F.col("first._hash").alias("first_hash"), F.col("first.top").alias("first_top"), F.col("first.bottom").alias("first_bottom"), (F.col("pos") - F.col("first.pos")).alias("away"))
+    side = Window.partitionBy(*_KEY, "first_doc", "first_hash", "away").orderBy("pos", "end")
+    new = F.coalesce(F.col("pos") > F.max("end").over(side.rowsBetween(Window.unboundedPreceding, -1)), F.lit(True))
+    runs = later.withColumn("_new", new.cast("int")).withColumn("_run", F.sum("_new").over(side.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy(*_KEY, "first_doc", "first_hash", "away", "_run").agg(F.min("top").alias("top"), F.max("bottom").alias("bottom"), F.min("first_top").alias("first_top"), F.max("first_bottom").alias("first_bottom"))
+    same = (F.col("first_doc") == F.col("_doc")) & (F.col("first_hash") == F.col("_hash"))
+    return runs.select(*_KEY, "top", "bottom", "first_doc", "first_top", F.when(same, F.col("first_bottom")).alias("first_bottom"))
+
+
+def repeated_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+    """(_doc, _hash, gone): of each document that loses lines, their numbers."""
+    begin = F.greatest(F.col("top"), F.coalesce(F.col("first_bottom") + 1, F.lit(0)))  # a run begins after its first copy does
+    runs = maximal_runs(docs, min_words).withColumn("begin", begin).where("begin <= bottom")
+    gone = runs.select(*_KEY, F.explode(F.sequence("begin", "bottom")).alias("line"))
+    return gone.groupBy(*_KEY).agg(F.collect_set("line").alias("gone"))  # bounded by the lines of one text
 
 
 def dedup_lines(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the text that stays, and n_lines and n_removed (columns of these names are replaced)."""
     columns = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    joined = _keys(docs.select(*columns)).join(repeated_lines(docs, min_words), _KEY, "left")
+    gone = materialize(repeated_lines(docs, min_words), "gone")
+    if (gone.agg(F.sum(F.size("gone"))).first()[0] or 0) <= BROADCAST_LINES:
+        gone = F.broadcast(gone)
+    row = F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_row")
+    joined = docs.select(row, F.col("doc_id").alias("_doc"), F.xxhash64("text").alias("_hash")).join(gone, _KEY, "left").select("_row", "gone", F.col("_row.text").alias("_text"))
     # a generator's output is computed once; a projected split would be repeated for each line it is indexed by
-    split = F.when(F.col("gone").isNotNull(), F.split("text", "\n"))
+    split = F.when(F.col("gone").isNotNull(), F.split("_text", "\n"))
     joined = joined.select("*", F.explode(F.array(split)).alias("_lines"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), "gone")
-    text = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.char_length("text") - F.char_length(F.replace("text", F.lit("\n"))) + 1).cast("long")
+    text = F.when(F.col("gone").isNull(), F.col("_text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n"))
+    n_lines = F.when(F.col("_text").isNull(), 0).otherwise(F.char_length("_text") - F.char_length(F.replace("_text", F.lit("\n"))) + 1).cast("long")
     n_removed = F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long")
     out = {"text": text, "n_lines": n_lines, "n_removed": n_removed}
-    return joined.select(*[out[c].alias(c) if c in out else c for c in [*columns, "n_lines", "n_removed"]])
+    return joined.select(*[out[c].alias(c) if c in out else F.col(f"_row.`{c}`").alias(c) for c in [*columns, "n_lines", "n_removed"]])

@@ -53,8 +53,16 @@ spans as (
   union select doc_id, (select max(s.pos) from sums s where s.doc_id = t.doc_id and s.pos <= t.pos and t.e - s.b >= 50) p, pos q from sums t),
 runs as (select s.doc_id, p, q, string_agg(x, chr(10) order by pos) txt, min(line) top, max(line) bottom
   from spans s join full_lines f on f.doc_id = s.doc_id and pos between p and q where p is not null and q is not null group by all),
-firsts as (select txt, min((doc_id, p)) f from runs group by txt),
-gone as (select distinct doc_id, unnest(range(top, bottom + 1)) line from runs join firsts using (txt) where (doc_id, p) > f),
+firsts as (select txt, min((doc_id, p, bottom)) f from runs group by txt),
+later as (
+  select doc_id, p, q, top, bottom, struct_extract(f, 1) fdoc, p - struct_extract(f, 2) away, struct_extract(f, 3) fbottom
+  from runs join firsts using (txt) where (doc_id, p) > (struct_extract(f, 1), struct_extract(f, 2))),
+marked as (select *, coalesce(p > 1 + max(q) over (partition by doc_id, fdoc, away order by p, q rows between unbounded preceding and 1 preceding), true) new from later),
+numbered as (select *, sum(new::int) over (partition by doc_id, fdoc, away order by p, q rows unbounded preceding) k from marked),
+maximal as (select doc_id, fdoc, min(top) top, max(bottom) bottom, max(fbottom) fbottom from numbered group by doc_id, fdoc, away, k),
+gone as (
+  select distinct doc_id, line from (select *, unnest(range(top, bottom + 1)) line from maximal)
+  where fdoc != doc_id or line > fbottom),
 kept as (select doc_id, string_agg(x, chr(10) order by line) txt from raw where (doc_id, line) not in (select (doc_id, line) from gone) group by doc_id),
 count_gone as (select doc_id, count(*) n from gone group by doc_id)
 select d.doc_id, case when g.n is null then d.text else coalesce(k.txt, '') end as text,
