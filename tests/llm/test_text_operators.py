@@ -2,6 +2,7 @@ import hashlib
 import itertools
 import random
 import re
+import time
 
 import pytest
 
@@ -277,9 +278,88 @@ def test_longest_match_and_empty_tables(spark):
     assert (r.longest_match, r.longest_item, r.longest_start, r.longest_item_start) == (30, 5, 3, 4)
     assert decontaminate.contamination(docs(spark, []), bench).count() == 0
     r = decontaminate.contamination(docs(spark, ["a"]), bench.where("false")).first()
-    assert (r.n_words, r.n_hit, r.contaminated) == (1, 0, False)
+    assert (r.n_words, r.n_hit, r.contaminated, r.longest_match, r.matches) == (1, 0, False, 0, [])
     with pytest.raises(ValueError):
-        decontaminate.TestIndex([], 99)
+        decontaminate.TestIndex([], 0)
+
+
+def split_words(t):
+    return re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", lower(t))
+
+
+def brute_matching(text, items):
+    """From each place the words of the longest match with any item."""
+    w, out = split_words(text), []
+    for i in range(len(w)):
+        best = 0
+        for _, t in items:
+            v = split_words(t)
+            for j in range(len(v)):
+                n = 0
+                while i + n < len(w) and j + n < len(v) and w[i + n] == v[j + n]:
+                    n += 1
+                best = max(best, n)
+        out.append(best)
+    return out
+
+
+@pytest.mark.parametrize(("block", "piece"), [(1 << 24, 1 << 14), (200, 1 << 14), (200, 20)])
+def test_matches_equal_brute_force(spark, monkeypatch, block, piece):
+    """Of every benchmark suffix the longest matches, however short or long, and where they are."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    r = random.Random(9)
+    items = [(k, words(r, n, 12)) for k, n in enumerate([1, 2, 5, 12, 13, 25, 60, 60, 150])]
+    items += [(20, items[8][1]), (21, "w1 w2 " + items[7][1])]
+    texts = [None, "", "w1", "w1 w2", items[8][1], f"zz {items[8][1]} {items[6][1]} zz", " ".join(items[7][1].split()[3:15])]
+    texts += [" ".join([words(r, 20, 12), "zz", *r.choice(items)[1].split()[r.randrange(3) :], words(r, 9, 400)]) for _ in range(20)]
+    bench = spark.createDataFrame([(k, t) for k, t in items], "item_id long, text string")
+    monkeypatch.setattr(decontaminate, "PIECE_WORDS", piece)
+    by_item = dict(items)
+    for row in decontaminate.contamination(docs(spark, texts), bench).collect():
+        text = texts[row.doc_id]
+        best, w = brute_matching(text, items), split_words(text)
+        for m in row.matches:
+            assert w[m.start : m.start + m.words] == split_words(by_item[m.item_id])[m.item_start : m.item_start + m.words]
+        reach = [0] * len(w)
+        for m in row.matches:
+            for i in range(m.start, m.start + m.words):
+                reach[i] = max(reach[i], m.start + m.words - i)
+        if block > 1000:  # blocks tell their own longest matches, all of them
+            assert all(a == n if n >= 3 else a <= n for a, n in zip(reach, best, strict=True))
+            assert len(row.matches) <= sum(n >= 3 for n in best)
+        assert row.longest_match == max([n for n in best if n >= 3], default=0) or piece == 20
+        hits = brute_hits(text, items)
+        assert (row.n_words, row.n_hit, row.n_items, row.items_sha256, row.contaminated) == hits
+
+
+def test_twelve_words_are_a_match_but_no_hit(spark):
+    bench = spark.createDataFrame([(7, " ".join(f"p{i}" for i in range(30)))], "item_id long, text string")
+    r = decontaminate.contamination(docs(spark, ["x " + " ".join(f"P{i}," for i in range(5, 17)) + " y"]), bench).first()
+    assert (r.n_hit, r.longest_match, r.longest_item, r.longest_start, r.longest_item_start) == (0, 12, 7, 1, 5)
+
+
+def test_a_prompt_that_all_items_share(spark):
+    prompt = " ".join(f"q{i}" for i in range(15))
+    bench = spark.createDataFrame([(k, f"{prompt} item{k} of many") for k in range(3000)], "item_id long, text string")
+    d = docs(spark, [f"{prompt} {k}" for k in range(300)])
+    decontaminate.contamination(d, bench).count()
+    began = time.time()
+    got = decontaminate.contamination(d, bench).select("n_items", "n_hit", "n_words").distinct().collect()
+    assert time.time() - began < 15 and [tuple(x) for x in got] == [(3000, 15, 16)]
+
+
+def test_many_distinct_benchmark_words():
+    r = random.Random(2)
+    index = decontaminate.TestIndex([(k, 0, 1000, " ".join(f"{r.getrandbits(64):x}" for _ in range(1000)).encode()) for k in range(2500)])
+    assert len(index.vocab) > 2_400_000 and len(index.window_at) == 2500 * 988
+
+
+def test_decontamination_keeps_columns_of_any_name(spark):
+    names = ["doc_id", "text", "_n", "_spans", "_items", "_longest", "state", "matches", "item_id", "a.b"]
+    rows = [(k, f"x {k}", *[f"{n}{k}" for n in names[2:]]) for k in (0, 1, 1)]
+    bench = spark.createDataFrame([(1, "x 0")], "item_id long, text string")
+    out = decontaminate.decontaminate(spark.createDataFrame(rows, names), bench)
+    assert out.columns == names and sorted(map(tuple, out.collect())) == rows[1:]
 
 
 # tokens
