@@ -1,5 +1,6 @@
 import hashlib
 import itertools
+import math
 import random
 import re
 import time
@@ -387,3 +388,37 @@ def test_tokens_equal_brute_force(spark, monkeypatch):
     split = [[x for x in re.split("[\x20\x09-\x0d]+", t or "") if x] for t in texts]
     assert got == {k: (len(w), sum(brute_tokens(x, pieces) for x in w)) for k, w in enumerate(split)}
     assert tokens.count_tokens(docs(spark, []), pieces=pieces).count() == 0
+
+
+def test_real_vocabulary(spark):
+    """Every word against a plain dynamic program, and totals near those of the vocabulary's own tokenizer."""
+    sentencepiece = pytest.importorskip("sentencepiece")
+    pieces = tokens.load_pieces()
+    assert abs(sum(math.exp(s) for s in pieces.values()) - 1) < 1e-9
+    counter = tokens.Counter(pieces)
+    for word in ["the", "international", "responsibility", "government", "and"]:
+        assert counter.count(word.encode()) == 1
+    d = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    texts = {r.doc_id: r.text or "" for r in d.collect()}
+    longest = max(map(len, pieces))
+    own = sentencepiece.SentencePieceProcessor(model_file=tokens.VOCABULARY)
+    distinct = sorted({w for t in texts.values() for w in re.split("[\x20\x09-\x0d]+", t) if w})
+    best = {}
+    for word in distinct[:: max(1, len(distinct) // 1500)] + ["日本語", "é\u0301", "7", "x" * 300]:
+        s, table = tokens.SPACE + word, [(0.0, 0)]
+        for i in range(1, len(s) + 1):
+            options = [(table[j][0] + pieces[s[j:i]], table[j][1] - 1) for j in range(max(0, i - longest), i) if s[j:i] in pieces]
+            if s[i - 1] not in pieces:
+                options.append((table[i - 1][0] + min(pieces.values()) - tokens.PENALTY, table[i - 1][1] - len(s[i - 1].encode())))
+            table.append(max(options))
+        best[word] = -table[-1][1]
+    assert {w: counter.count(w.encode()) for w in best} == best
+    got = {r.doc_id: r.n_tokens for r in tokens.count_tokens(d).collect()}
+    total = sum(len(own.encode(t)) for t in texts.values())
+    assert abs(sum(got.values()) / total - 1) < 0.1
+
+
+def test_tokens_of_repeated_rows_and_other_columns(spark):
+    rows = spark.createDataFrame([(1, "a b", 9, "x"), (1, "a b", 9, "x"), (None, "a", None, None)], "doc_id long, text string, n_tokens long, n_words string")
+    got = sorted(map(tuple, tokens.count_tokens(rows).collect()), key=repr)
+    assert got == [(1, 2, 2), (1, 2, 2), (None, 1, 1)]

@@ -1,7 +1,9 @@
 """Token counts of whole texts under a unigram model, with the forward scores shared in a trie of pre-tokens.
 
-Pieces and their scores are those of a SentencePiece vocabulary file; the best segmentation of a pre-token has the largest
-sum of scores, of equal ones the one with fewer tokens. A pre-token is a word with the mark for a space before it. Each task
+Pieces are those of a SentencePiece vocabulary file, their scores log probabilities. A file of ranks (in which pieces were
+merged, the frequent ones first) has none; there the probability of a rank is that of the Zipf-Mandelbrot law, 1 / (rank +
+SHIFT), made to sum to 1. The best segmentation of a pre-token has the largest sum of scores, of equal ones the one
+with fewer tokens. A pre-token is a word with the mark for a space before it. Each task
 inserts its distinct pre-tokens in a trie. A node holds the best score and token count of the prefix that ends there,
 computed once from its ancestors for all pre-tokens that share the prefix; the node where a pre-token ends so holds its
 count, which is stored, and a text's count is a sum of stored counts.
@@ -16,6 +18,7 @@ Repeated rows are counted one by one. Other columns are left out.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,6 +29,8 @@ from txscore.llm._common import as_bytes, small_batches
 #: The vocabulary file, a parameter of count_tokens; it is read where the driver runs.
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
 PENALTY = 10.0
+#: The constant of the law of ranks that frequencies of words follow.
+SHIFT = 2.7
 NODES, LONG = 800_000, 256
 SPACE = "▁"
 
@@ -36,7 +41,20 @@ def load_pieces(path: str = VOCABULARY) -> dict[str, float]:
 
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     n = range(model.get_piece_size())
-    return {model.id_to_piece(k): model.get_score(k) for k in n if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))}
+    pieces = {model.id_to_piece(k): model.get_score(k) for k in n if not (model.is_control(k) or model.is_unknown(k) or model.is_byte(k) or model.is_unused(k))}
+    return log_probabilities(pieces)
+
+
+def log_probabilities(pieces: dict[str, float]) -> dict[str, float]:
+    """The scores, if they are log probabilities; whole numbers up to 0 are ranks, which get the law's.
+
+    A pre-token has one mark for a space, so pieces with several are left out: files give them scores out of all order.
+    """
+    if not pieces or not all(s <= 0 and s == int(s) for s in pieces.values()):
+        return pieces
+    ranked = sorted((p for p in pieces if p.count(SPACE) < 2), key=lambda p: (-pieces[p], p))
+    total = math.fsum(1 / (n + SHIFT) for n in range(1, len(ranked) + 1))
+    return {p: -math.log((n + SHIFT) * total) for n, p in enumerate(ranked, 1)}
 
 
 class Counter:
