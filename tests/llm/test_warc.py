@@ -77,3 +77,18 @@ def test_false_magic_and_torn_members():
     whole = [at for at, _, _ in warc.records_of(io.BytesIO(data), len(data), *ends[0])]
     parts = [at for a, b in ends[1:] for at, _, _ in warc.records_of(io.BytesIO(data), len(data), a, min(b, len(data)))]
     assert len(whole) == 2 and parts == whole
+
+
+def test_hot_payloads_on_both_paths(spark):
+    """A third of all pages share one payload, whether digests are broadcast or joined by a shuffle."""
+    rows = [(k, "http://a/", "the copied page" if k % 3 == 0 else f"p{k % 50}") for k in range(400)] + [(7, "again", "the copied page"), (None, "u", "p1")] + [(11, "http://a/", "p11")] * 2
+    for limit in (0, 10**6):
+        archives = warc.write_warc(pages(spark, rows).repartition(6), broadcast_digests=limit)
+        found = warc.read_warc(archives).select("page_id", "payload_bytes", "payload_digest", "warc_type", "refers_to").collect()
+        assert sorted(map(tuple, found), key=repr) == brute(rows)
+
+
+def test_drafts_of_failed_attempts_go(spark, tmp_path):
+    (tmp_path / "part-000009.warc.gz.77").write_bytes(b"half a record")
+    warc.write_warc(pages(spark, [(1, "u", "x")]), str(tmp_path))
+    assert not list(tmp_path.glob("*.gz.*")) and list(tmp_path.glob("*.warc.gz"))

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or one of our own where it is unset (tests)."""
+    """The folder that all executors share: spark.checkpoint.dir, or, in a session of one machine only, one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="txscore-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
@@ -53,6 +55,26 @@ def discard(*tables: DataFrame) -> None:
             folder.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
 
 
+#: A key is hot if it has more than one in so many rows, and HOT_ROWS at least.
+HOT_SHARE, HOT_ROWS = 20_000, 1000
+
+
+def join_skewed(rows: DataFrame, groups: DataFrame, by: list[str], values: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """rows inner join groups (by, values, times), where a group has `times` rows and any group may have most of them.
+
+    Rows of hot groups, of which there are HOT_SHARE at most, get theirs by broadcast; they go to the join as well, but
+    under a salt of their own, so they spread.
+    """
+    total = groups.agg(F.sum("times")).first()[0] or 0
+    limit = max(hot_rows, total // HOT_SHARE)
+    hot = groups.where(F.col("times") > limit).select(*by, F.struct(*values).alias("_hot"))
+    cold = groups.where(F.col("times") <= limit).select(*by, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
+    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1024)).cast("int"))
+    both = rows.join(F.broadcast(hot), by, "left").withColumn("_salt", salt).join(cold, [*by, "_salt"], "left")
+    both = both.withColumn("_value", F.coalesce("_hot", "_cold")).where("_value is not null")
+    return both.select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
+
+
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds what one Arrow batch of long texts holds, by rows and (where Spark has it) by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
@@ -80,10 +102,14 @@ def hashed_sample(df: DataFrame, key: str, rows: int, seed: int) -> DataFrame:
     return df.orderBy(F.pmod(h, F.lit(1 << 30)), *df.columns).limit(rows)
 
 
-def bounded_sample(labels: DataFrame, docs: DataFrame, rows: int, seed: int) -> DataFrame:
-    """Labelled texts of at most `rows` label rows, chosen by the hash of their doc_id; documents aren't shuffled.
+def bounded_sample(labels: DataFrame, docs: DataFrame, rows: int, seed: int, text_bytes: int = 32 << 10) -> DataFrame:
+    """At most `rows` labelled texts of `text_bytes` or less, chosen by the hash of their doc_id; documents aren't shuffled.
 
-    The chosen ids are at most `rows`, which bounds what is broadcast. A doc_id with several labels gives several rows.
+    The label rows that can be chosen are at most `rows`, which bounds what is broadcast; a doc_id with several labels gives
+    several rows, a repeated document more, and of all these the first `rows` in the order of the hash stay. The
+    bound on texts, a parameter of fitting as the number of rows is, bounds the one task that fits; scores use whole texts.
     """
     chosen = hashed_sample(labels.where(F.col("doc_id").isNotNull()), "doc_id", rows, seed)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
+    short = docs.select("doc_id", "text").where(F.col("text").isNull() | (F.octet_length("text") <= text_bytes))
+    found = short.join(F.broadcast(chosen), "doc_id").dropDuplicates()
+    return found.orderBy(F.xxhash64("doc_id", F.lit(seed)), *found.columns).limit(rows)

@@ -15,8 +15,8 @@ lines of its own first copy, which a run that repeats within a document may over
 first 5 stay. Doubling ends at the longest passage, which has at most min_words lines that count: a longer run is the
 passages that make it up.
 
-Keys that many rows share (of every rank at most one in HOT_SHARE of the rows, so their table has a bound) are joined by
-broadcast and dealt over all tasks; the others are joined by a shuffle.
+Lines and passages that many rows share are joined by a broadcast of a bounded table and dealt over all tasks; the others
+are joined by a shuffle.
 
 Defined results: lines are split at \\n and compared exactly; blank lines count for nothing, but those inside a run that
 goes go with it. A null or empty text stays as it is. Rows without a doc_id take no part and stay. Rows that repeat doc_id
@@ -30,11 +30,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txscore.llm._common import materialize
+from txscore.llm._common import join_skewed, materialize
 
 MIN_WORDS = 50
-#: A key is hot if it has more than one in so many rows, and HOT_ROWS at least.
-HOT_SHARE, HOT_ROWS = 20_000, 1000
+#: Rows of a key from which on it may be hot.
+HOT_ROWS = 1000
 #: Removed lines up to which they are broadcast to the documents, so that these aren't shuffled.
 BROADCAST_LINES = 1_000_000
 _WORD = r"[^\x20\x09-\x0D]+"
@@ -54,27 +54,12 @@ def _lines(docs: DataFrame) -> DataFrame:
     return rows.select(*_KEY, "pos", F.col("l.i").alias("line"), F.regexp_count(line, F.lit(_WORD)).alias("n"), F.xxhash64(line).alias("k1"), F.xxhash64(F.lit(7), line).alias("k2"))
 
 
-def _join(rows: DataFrame, groups: DataFrame, by: list[str], values: list[str]) -> DataFrame:
-    """rows inner join groups (by, values, times), where a group has `times` rows and any group may have most of them.
-
-    Rows of hot groups get theirs by broadcast; they go to the join as well, but under a salt of their own, so they spread.
-    """
-    total = groups.agg(F.sum("times")).first()[0] or 0
-    hot = groups.where(F.col("times") > max(HOT_ROWS, total // HOT_SHARE))
-    hot = hot.select(*by, F.struct(*values).alias("_hot"))
-    cold = groups.where(F.col("times") <= max(HOT_ROWS, total // HOT_SHARE)).select(*by, F.lit(0).alias("_salt"), F.struct(*values).alias("_cold"))
-    salt = F.when(F.col("_hot").isNull(), 0).otherwise(1 + F.pmod(F.xxhash64(*rows.columns), F.lit(1024)).cast("int"))
-    both = rows.join(F.broadcast(hot), by, "left").withColumn("_salt", salt).join(cold, [*by, "_salt"], "left")
-    both = both.withColumn("_value", F.coalesce("_hot", "_cold")).where("_value is not null")
-    return both.select(*rows.columns, *[F.col(f"_value.{v}").alias(v) for v in values])
-
-
 def _ranked(pairs: DataFrame, by: list[str], name: str) -> DataFrame:
     """Adds rank: the number of a row's `by` in their order. Rows whose `by` occurs once are left out."""
     groups = pairs.groupBy(*by).agg(F.count("*").alias("times")).where("times > 1")
     # the partitions of a sort are ranges, so these numbers follow the order; written down, they stay
     groups = materialize(groups.orderBy(*by).withColumn("rank", F.monotonically_increasing_id()), f"{name}-ranks")
-    return materialize(_join(pairs, groups, by, ["rank"]).drop(*by), name)
+    return materialize(join_skewed(pairs, groups, by, ["rank"], HOT_ROWS).drop(*by), name)
 
 
 def _passages(lines: DataFrame, min_words: int) -> DataFrame:
@@ -124,7 +109,7 @@ def maximal_runs(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     known = materialize(known.select(*_KEY, "pos", "m", "top", "bottom", "a", "b"), "known")
     place = F.struct(*_KEY, "pos")
     starts = known.groupBy("m", "a", "b").agg(F.min(F.struct(*_KEY, "pos", "top", "bottom")).alias("first"), F.count("*").alias("times")).where("times > 1")
-    copies = _join(known, materialize(starts, "intervals"), ["m", "a", "b"], ["first"])
+    copies = join_skewed(known, materialize(starts, "intervals"), ["m", "a", "b"], ["first"], HOT_ROWS)
     later = copies.where(place > F.struct("first._doc", "first._hash", "first.pos"))
     later = later.select(*_KEY, "pos", (F.col("pos") + F.col("m")).alias("end"), "top", "bottom", F.col("first._doc").alias("first_doc"), F.col("first._hash").alias("first_hash"), F.col("first.top").alias("first_top"), F.col("first.bottom").alias("first_bottom"), (F.col("pos") - F.col("first.pos")).alias("away"))
     side = Window.partitionBy(*_KEY, "first_doc", "first_hash", "away").orderBy("pos", "end")

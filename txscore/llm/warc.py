@@ -6,7 +6,8 @@ start inside its range; it reads past the range's end only to finish the last of
 memory is bounded by a range and one record, and a false magic inside compressed data is no record.
 
 Archives are reached through the file system of their URI, not through Python's open(). Each is written to a name of its
-task's attempt and then renamed, so attempts that fail or run twice leave no part of an archive behind.
+task's attempt and then renamed, so attempts that fail or run twice are no part of an archive; their drafts
+are deleted at the end.
 
 Defined results: a null payload is empty. Of equal payloads of at least min_bytes bytes the row with the largest id is the
 response and holds the payload; the others revisit it. Rows without an id are all responses. Rows that repeat an id and
@@ -26,11 +27,13 @@ import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscore.llm._common import as_bytes, materialize, new_dir, small_batches
+from txscore.llm._common import as_bytes, join_skewed, materialize, new_dir, small_batches
 
 MAGIC = b"\x1f\x8b\x08"
 RANGE_BYTES = 8 << 20
 _STEP = 1 << 16
+#: Digests of repeated payloads up to which they are broadcast, so that no payload is shuffled.
+BROADCAST_DIGESTS = 200_000
 _DATE = "2024-01-01T00:00:00Z"
 
 
@@ -87,21 +90,37 @@ def _write(folder: str):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0) -> DataFrame:
+def write_warc(pages: DataFrame, folder: str | None = None, min_bytes: int = 0, broadcast_digests: int = BROADCAST_DIGESTS) -> DataFrame:
     """Archives of pages (page_id, url, html) in the folder -> (path, bytes, records), one row an archive."""
     spark = pages.sparkSession
     small_batches(spark)
     folder = folder or new_dir(spark, "warc")
     body = F.coalesce(F.encode("html", "UTF-8"), F.lit(b""))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html", F.sha1(body).alias("sha1"), F.octet_length(body).cast("long").alias("size"))
-    best = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("size"))
+    ids = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha1(body).alias("sha1"), F.octet_length(body).alias("size"))
+    ids = ids.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).select("page_id", "sha1")
     # a digest that occurs once needs no entry, so the table is as long as there are repeated payloads
-    best = best.where((F.col("size") >= min_bytes) & F.col("page_id").isNotNull()).groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("times")).where("times > 1").drop("times")
-    marked = rows.join(best, "sha1", "left")
+    best = materialize(ids.groupBy("sha1").agg(F.max("page_id").alias("best"), F.count("*").alias("times")).where("times > 1"), "digests")
+    if best.count() <= broadcast_digests:
+        marked = rows.join(F.broadcast(best.drop("times")), "sha1", "left")
+    else:
+        # payloads are dealt by their page, digests of many pages by a salt
+        revisits = join_skewed(ids, best, ["sha1"], ["best"]).where("page_id < best").distinct()
+        marked = rows.join(revisits, ["page_id", "sha1"], "left")
     refers = F.when((F.col("size") >= min_bytes) & (F.col("page_id") < F.col("best")), F.col("best"))
     marked = marked.withColumn("refers_to", refers).withColumn("html", F.when(F.col("refers_to").isNull(), F.col("html")))
     done = marked.select("page_id", "url", "html", "sha1", "size", "refers_to").mapInArrow(_write(folder), "path string, bytes long, records long")
-    return materialize(done, "archives")
+    archives = materialize(done, "archives")
+    _clear_drafts(spark, folder)
+    return archives
+
+
+def _clear_drafts(spark: SparkSession, folder: str) -> None:
+    """Deletes what attempts left that failed; done when all archives have their names."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*.warc.gz.*")
+    fs = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    for status in fs.globStatus(path) or []:
+        fs.delete(status.getPath(), False)
 
 
 def parse(data: bytes) -> tuple[dict[str, str], bytes] | None:
