@@ -91,6 +91,10 @@ def _signature(h: np.ndarray) -> tuple[int, int]:
     return struct.unpack("<qq", hashlib.blake2b(h.tobytes(), digest_size=16).digest())
 
 
+#: Ids of dropped documents up to which keep_one() broadcasts them.
+BROADCAST_DROPPED = 1_000_000
+
+
 class Threshold:
     """Jaccard of at least percent / 100, in whole numbers."""
 
@@ -541,5 +545,9 @@ def keep_one(docs: DataFrame, n: int = 5, percent: int = 80) -> DataFrame:
 
     Documents without words and rows without a doc_id stay. All columns of docs are kept.
     """
-    dropped = near_duplicates(docs, n, percent).where("component_id != doc_id").select("doc_id").distinct()
-    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
+    dropped = near_duplicates(docs.select("doc_id", "text"), n, percent).where("component_id != doc_id").select(F.col("doc_id").alias("_gone")).distinct()
+    dropped = materialize(dropped, "dropped")
+    if dropped.count() <= BROADCAST_DROPPED:  # ids, so that documents aren't shuffled
+        dropped = F.broadcast(dropped)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])
+    return plain.join(dropped, F.col(f"c{docs.columns.index('doc_id')}") == F.col("_gone"), "left_anti").toDF(*docs.columns)

@@ -56,7 +56,8 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP
     before = by_ratio.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("left", F.sum("source_size").over(everything) - F.coalesce(F.sum("bound").over(before), F.lit(0)))
     rows = rows.withColumn("others", F.sum("weight").over(everything) - F.coalesce(F.sum("weight").over(before), F.lit(0)))
-    level = F.when(F.col("bound") * F.col("others") >= F.col("left") * F.col("weight"), F.col("left") / F.col("others"))
+    wide = lambda c: F.col(c).cast("decimal(19,0)")  # noqa: E731  products of two don't overflow
+    level = F.when(wide("bound") * wide("others") >= wide("left") * wide("weight"), F.col("left") / F.col("others"))
     rows = rows.withColumn("level", F.min_by(level, F.when(level.isNotNull(), F.struct(F.col("bound") / F.col("weight"), *_KEY))).over(everything))
     target = F.least(F.col("bound").cast("double"), F.col("level") * F.col("weight"))
     return rows.select(*_KEY, "source_size", "weight", target.alias("target"))

@@ -91,7 +91,7 @@ def fit(docs: DataFrame, ratings: DataFrame, bits: int = BITS, rows: int = TRAIN
 _NEW = [("expected_grade", pa.float64(), "double"), ("tail_probability", pa.float64(), "double"), ("predicted_grade", pa.int32(), "integer")]
 
 
-def _grade(bits: int, sent, tail: int | None, least: float | None):
+def _grade(bits: int, sent, text_at: int, tail: int | None, least: float | None):
     """least: only documents with at least this tail probability pass, and no column is added."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -102,7 +102,7 @@ def _grade(bits: int, sent, tail: int | None, least: float | None):
         cut = grades >= (tail if tail is not None else grades[-1])
         for batch in batches:
             out: list[tuple] = []
-            for text in as_bytes(batch.column(batch.schema.get_field_index("text"))):
+            for text in as_bytes(batch.column(text_at)):
                 f, x = surface.vector(text)
                 p = np.diff(model.below(model.w[f] @ x))
                 out.append((float(p @ grades), float(p[cut].sum()), int(grades[int(p.argmax())])))
@@ -128,12 +128,13 @@ def grade(docs: DataFrame, model: DataFrame, tail: int | None = None, bits: int
     kept = docs.select(*[c for c in docs.columns if c not in {n for n, _, _ in _NEW} | {"text"}]).schema
     for name, _, kind in _NEW:
         kept = kept.add(name, kind)
-    return docs.mapInArrow(_grade(bits, _model(docs, model), tail, None), kept)
+    return docs.mapInArrow(_grade(bits, _model(docs, model), docs.columns.index("text"), tail, None), kept)
 
 
 def select(docs: DataFrame, model: DataFrame, tail: int | None = None, least: float = 0.5, bits: int = BITS) -> DataFrame:
     """The documents whose tail probability is at least `least`, with all their columns."""
-    return docs.mapInArrow(_grade(bits, _model(docs, model), tail, least), docs.schema)
+    plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # Arrow functions take no names with dots
+    return plain.mapInArrow(_grade(bits, _model(docs, model), docs.columns.index("text"), tail, least), plain.schema).toDF(*docs.columns)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> DataFrame:
