@@ -19,7 +19,7 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(docs)
     left = done.where("n_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     new = {"n_chars": F.char_length("text").cast("long")}
-    return left.select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else c for c in docs.columns])
+    return left.select(*[F.when(F.col("n_removed") > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(f"`{c}`") for c in docs.columns])
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
