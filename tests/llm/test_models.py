@@ -239,3 +239,52 @@ def test_neighbours_defined_cases(spark):
     assert ann.search(vectors(spark, [])).count() == 0
     assert ann.search(vectors(spark, [None, [0.0, 0.0]])).count() == 0
     assert ann.search(vectors(spark, [[1.0, 2.0]], [None])).count() == 0
+
+
+def test_samples_are_bounded(spark):
+    """The bound holds for repeated documents and labels too, and long texts aren't learnt from."""
+    from txscore.llm._common import bounded_sample
+
+    docs = spark.createDataFrame([(k % 40, f"text {k}") for k in range(400)] + [(1, "x" * 40_000)], "doc_id long, text string")
+    labels = spark.createDataFrame([(k % 40, k % 2) for k in range(200)], "doc_id long, label int")
+    for rows in (2, 15, 1000):
+        got = bounded_sample(labels, docs, rows, 3).collect()
+        assert len(got) == min(rows, len({(r.doc_id, r.text, r.label) for r in got})) and all(len(r.text) < 40_000 for r in got)
+        assert sorted(got) == sorted(bounded_sample(labels, docs.repartition(7), rows, 3).collect())
+
+
+def test_ftrl_equals_a_plain_one():
+    """Weights of examples learnt one by one, against the update rule written out for dictionaries."""
+    r = np.random.default_rng(2)
+    model = toxicity.Ftrl(30, l1=0.3)
+    z, n = {}, {}
+
+    def weight(k):
+        l1 = 0.0 if k == 30 else 0.3
+        if abs(z.get(k, 0.0)) <= l1:
+            return 0.0
+        return -(z[k] - (1 if z[k] > 0 else -1) * l1) / (1.0 + n[k] ** 0.5)
+
+    for _ in range(400):
+        features = np.unique(r.integers(0, 30, size=6))
+        label = int(features[0] < 5)
+        model.learn(features, label)
+        at = [*features.tolist(), 30]
+        w = {k: weight(k) for k in at}
+        g = 1 / (1 + np.exp(-sum(w.values()))) - label
+        for k in at:
+            sigma = (n.get(k, 0.0) + g * g) ** 0.5 - n.get(k, 0.0) ** 0.5
+            z[k] = z.get(k, 0.0) + g - sigma * w[k]
+            n[k] = n.get(k, 0.0) + g * g
+    assert model.weights(np.arange(31)) == pytest.approx([weight(k) for k in range(31)], abs=1e-9)
+
+
+def test_ordinal_probabilities_equal_plain_ones():
+    """Of each grade the difference of two logistic tails, and their mean as the expected grade."""
+    model = quality.Ordinal(8, [0, 1, 3, 4])
+    model.w[:], model.cuts = np.linspace(-1, 1, len(model.w)), np.array([-1.0, 0.2, 1.5])
+    for score in (-3.0, 0.0, 0.7, 5.0):
+        p = np.diff(model.below(score))
+        tail = [1.0, *(1 / (1 + np.exp(-(score - c))) for c in model.cuts), 0.0]
+        assert p == pytest.approx([a - b for a, b in zip(tail, tail[1:], strict=False)])
+        assert p.sum() == pytest.approx(1.0)
