@@ -132,29 +132,50 @@ def test_votes_equal_brute_force(spark, share):
     assert got == {a: sum(y for _, _, y in d) for a, d in brute(queries, refs, 5, False).items()}
 
 
-def test_queries_beyond_the_broadcast_size(spark, monkeypatch):
+@pytest.mark.parametrize("name", ["knn_top5", "knn_vote", "knn_approximate", "embedding_knn", "probe_stats", "stream_score"])
+def test_queries_beyond_the_broadcast_size(spark, monkeypatch, name):
+    """The same rows and columns on both sides of the switch."""
     from txscore.plans.queries import QUERIES
 
-    sf, few = "/root/testdata/sf0.001", {}
+    sf = "/root/testdata/sf0.001"
     if not os.path.isdir(sf):
         pytest.skip("no test tables here")
-    for name in ("embedding_knn", "probe_stats"):
-        few[name] = QUERIES[name](spark, sf).collect()
-    monkeypatch.setattr(C, "BROADCAST_REFERENCES", 0)
-    assert sorted(QUERIES["embedding_knn"](spark, sf).collect()) == sorted(few["embedding_knn"])
-    rows = QUERIES["probe_stats"](spark, sf).collect()
-    for column in ("queries", "votes"):
-        assert sum(r[column] for r in rows) == sum(r[column] for r in few["probe_stats"])
-    assert min(r.partitions_visited for r in rows) >= 1
+    sent = QUERIES[name](spark, sf)
+    rows = sorted(sent.collect())
+    monkeypatch.setattr(C, "BROADCAST_BYTES", 0)
+    shuffled = QUERIES[name](spark, sf)
+    assert shuffled.columns == sent.columns and sorted(shuffled.collect()) == rows
+
+
+def test_a_table_searched_for_itself(spark):
+    x = vectors(spark, random_rows(120, 21, [0, 3000, 10000])).withColumn("query_id", F.col("ref_id"))
+    rows = {s: sorted(knn.knn(x, x, leave_out=True, strategy=s, block_rows=30, approximate=a).collect()) for s in ("broadcast", "blocks") for a in (False,)}
+    assert rows["broadcast"] == rows["blocks"] and len(rows["blocks"]) == 600
+
+
+def test_boxes_below_partitions(spark, monkeypatch):
+    r = np.random.default_rng(1)
+    monkeypatch.setattr(knn, "BOX_ROWS", 20)
+    x = r.integers(-10000, 10000, size=(700, 14))
+    refs = knn.References(np.arange(700), x, r.integers(0, 2, 700), np.arange(700) % 3)
+    assert max(len(g[0]) for g in refs.groups) <= 20
+    for key in (0, 2, 9):
+        q = r.integers(-10000, 10000, size=(50, 14)).astype(float)
+        stats = []
+        best = refs.search(q, key, None, 5, stats)
+        d = ((q[:, None, :] - x[None]) ** 2).sum(2)
+        order = np.lexsort((np.broadcast_to(np.arange(700), d.shape), d), 1)[:, :5]
+        assert (best.ids == order).all() and (stats[0] <= 3).all() and (stats[0] >= 1).all()
 
 
-def test_approximate_mode_keeps_its_bound(spark):
+@pytest.mark.parametrize("strategy", ["broadcast", "blocks"])
+def test_approximate_mode_keeps_its_bound(spark, strategy):
     near = [([int(5000 + 9 * x) for x in v], y) for v, y in random_rows(200, 11, range(-99, 99))]
     far = random_rows(60, 12, list(range(-10000, 10001, 100)))
     refs = near + far
     exact = {a: d for a, d in brute(refs, refs, 5, True).items()}
     got = {}
-    for r in knn.knn(vectors(spark, refs, "query_id").drop("label"), vectors(spark, refs), leave_out=True, strategy="broadcast", approximate=True).collect():
+    for r in knn.knn(vectors(spark, refs, "query_id").drop("label"), vectors(spark, refs), leave_out=True, strategy=strategy, approximate=True).collect():
         got.setdefault(r.query_id, []).append((r.d2, r.ref_id, r.label))
     for a, rows in got.items():
         assert sorted(rows) == exact[a] or max(d for d, _, _ in rows) <= C.EARLY_STOP
@@ -188,13 +209,50 @@ def test_index_round_trip(spark, tmp_path):
         index.open_index(spark, path)
 
 
-def test_leaves_are_small(spark):
+def test_leaves_are_small(spark, tmp_path):
     rows = random_rows(400, 6, list(range(-10000, 10001, 3)))
-    got = index.leaves(vectors(spark, rows), 16)
-    assert got.count() == 400
+    got = index.leaves(vectors(spark, rows), f"file://{tmp_path}/a", 16)
+    assert got.count() == got.select("ref_id").distinct().count() == 400
     assert got.groupBy("leaf").count().agg(F.max("count")).first()[0] <= 16
-    same = vectors(spark, [([1] * 14, 0)] * 50)
-    assert index.leaves(same, 16).select("leaf").distinct().count() == 1
+    same = index.leaves(vectors(spark, [([1] * 14, 0)] * 50), f"file://{tmp_path}/b", 16)
+    assert sorted(r["count"] for r in same.groupBy("leaf").count().collect()) == [12, 12, 13, 13]  # equal values by id
+
+
+def test_append(spark, tmp_path):
+    rows = vectors(spark, random_rows(300, 5, list(range(-10000, 10001, 50))))
+    path, whole = f"file://{tmp_path}/index", f"file://{tmp_path}/whole"
+    index.build_index(rows.where("ref_id < 200"), path, 16)
+    with pytest.raises(ValueError):
+        index.append_index(rows.where("ref_id > 190"), path)
+    index.append_index(rows.where("ref_id >= 200"), path)
+    index.build_index(rows, whole, 16)
+    (a, p, h), (b, q, g) = index.open_index(spark, path), index.open_index(spark, whole)
+    assert h == g and sorted(p.collect()) == sorted(q.select(*p.columns).collect())
+    assert sorted(a.drop("leaf").collect()) == sorted(b.drop("leaf").collect())
+    assert spark.read.parquet(f"{path}/leaves").agg(F.sum("n")).first()[0] == 300
+
+
+GOLDENS = {
+    0: (0, [(18, 1216173), (69, 2703537), (28, 4011680), (93, 5230401), (65, 6573807)]),
+    1: (0, [(66, 4656467), (0, 5060154), (54, 6777510), (60, 12501358), (42, 13556233)]),
+    2: (5, [(24, 28007922), (7, 236791033), (97, 257644232), (79, 263628938), (55, 363931321)]),
+}
+
+
+def test_goldens_of_the_sample(spark):
+    """Neighbours and leave-one-out decisions over the published sample of 100 references, where it is there to read."""
+    sample = os.environ.get("TXSCORE_SAMPLE", "")
+    if not os.path.isfile(sample):
+        pytest.skip("no sample here")
+    refs = read_references(spark, f"file://{sample}")
+    q = vectors(spark, [(v, 0) for v in VECTORS[:3]], "query_id").drop("label")
+    got = {}
+    for r in knn.knn(q, refs).orderBy("rank").collect():
+        got.setdefault(r.query_id, []).append((r.ref_id, r.d2))
+    assert got == {k: rows for k, (_, rows) in GOLDENS.items()}
+    assert {r.query_id: r.fraud_count for r in knn.vote(q, refs).collect()} == {k: n for k, (n, _) in GOLDENS.items()}
+    out = knn.vote(refs.withColumnRenamed("ref_id", "query_id"), refs, leave_out=True).join(refs.select(F.col("ref_id").alias("query_id"), "label"), "query_id")
+    assert sorted((r.label, r.approved, r["count"]) for r in out.groupBy("label", "approved").count().collect()) == [(0, True, 75), (1, False, 24), (1, True, 1)]
 
 
 def test_reference_json(spark, tmp_path):

@@ -26,8 +26,8 @@ MCC_SLOTS = 1_024
 LEGIT, FRAUD = 0, 1
 #: Leaves of the index hold about so many vectors; 8 to 1024.
 LEAF_SIZE = 256
-#: References are broadcast up to so many rows of vectors (28 bytes each as 16-bit integers); beyond, they are shuffled in blocks.
-BROADCAST_REFERENCES = 2_000_000
+#: References are broadcast up to so many bytes, as a worker holds them; beyond, they are shuffled in blocks.
+BROADCAST_BYTES = 256 << 20
 
 
 def leaf_size(value: str | int | None) -> int:

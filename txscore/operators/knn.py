@@ -23,6 +23,8 @@ from txscore.operators.index import bounds, with_key
 
 _BLOCK = 4_096
 _QUERIES = 512
+#: Rows of a box in memory.
+BOX_ROWS = 2_048
 #: Rows of a shuffled block of references, and queries of a share.
 BLOCK_ROWS = 50_000
 _NONE = np.float64(1e300)
@@ -78,18 +80,35 @@ class Nearest:
         return (self.d[rows, -1] < _NONE) & (self.labels[rows] == label).all(1)
 
 
+def _boxes(x: np.ndarray, rows: np.ndarray) -> list[np.ndarray]:
+    """rows, halved at the median of their widest dimension down to BOX_ROWS."""
+    out, todo = [], [rows]
+    while todo:
+        rows = todo.pop()
+        if len(rows) <= BOX_ROWS:
+            out.append(rows)
+            continue
+        part = x[rows]
+        widest = int((part.max(0) - part.min(0)).argmax())
+        order = rows[np.argsort(part[:, widest], kind="stable")]
+        todo += [order[: len(order) // 2], order[len(order) // 2 :]]
+    return out
+
+
 class References:
-    """References in memory, grouped by partition key, with each group's box and label mask."""
+    """References in memory, grouped by partition key and, in large keys, by boxes below it; with each group's box and label mask."""
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, labels: np.ndarray, keys: np.ndarray):
         order = np.lexsort((ids, keys))
-        ids, x, labels, keys = ids[order], x[order], labels[order], keys[order]
-        self.keys, begins = np.unique(keys, return_index=True)
-        ends = np.append(begins[1:], len(keys))[: len(begins)]
-        self.groups = [(ids[a:b], x[a:b].astype(np.float64), labels[a:b]) for a, b in zip(begins, ends, strict=True)]
+        ids, x, labels, keys = ids[order], x[order].astype(np.float64), labels[order], keys[order]
+        begins = np.flatnonzero(np.diff(keys, prepend=keys[0] - 1)) if len(keys) else np.zeros(0, np.int64)
+        parts: list[tuple[int, np.ndarray]] = []
+        for a, b in zip(begins.tolist(), [*begins.tolist()[1:], len(keys)], strict=False):
+            parts += [(int(keys[a]), rows) for rows in _boxes(x, np.arange(a, b))]
+        self.keys = np.array([k for k, _ in parts], np.int64)
+        self.groups = [(ids[rows], x[rows], labels[rows]) for _, rows in parts]
         self.low = np.stack([g[1].min(0) for g in self.groups]) if self.groups else np.zeros((0, x.shape[1]))
         self.high = np.stack([g[1].max(0) for g in self.groups]) if self.groups else np.zeros((0, x.shape[1]))
-        self.place = {int(k): n for n, k in enumerate(self.keys)}
         self.mask = np.array([np.bitwise_or.reduce(1 << g[2]) for g in self.groups], np.int64)
 
     def search(self, q: np.ndarray, key: int, own: np.ndarray | None, k: int, stats: list | None = None, only_votes: bool = False, enough: float = -1.0) -> Nearest:
@@ -97,36 +116,38 @@ class References:
 
         only_votes: just the labels' sum must be right. Then a group with one label is put off for queries whose k nearest
         all have it, and is looked at only if a later group brings another label.
-        enough: the approximate mode; a query whose k nearest so far are all within this squared distance is done.
+        enough: the approximate mode; a query with k in its own key that are all within this squared distance is done.
         """
-        best, every = Nearest(len(q), k), np.arange(len(q))
-        home = self.place.get(key)
-        if home is not None:
-            best.add(every, q, own, *self.groups[home])
+        best = Nearest(len(q), k)
         bound = np.stack([((np.maximum(np.maximum(lo - q, q - hi), 0)) ** 2).sum(1) for lo, hi in zip(self.low, self.high, strict=True)], 1) if self.groups else np.zeros((len(q), 0))
-        seen = np.zeros(len(q), np.int64) + (home is not None)
+        seen = np.zeros((len(q), len(self.keys)), bool)
         put_off: list[tuple[int, np.ndarray]] = []
+        home, done = self.keys == key, np.zeros(len(q), bool)
 
         def visit(p: int, rows: np.ndarray) -> None:
             if len(rows):
-                seen[rows] += 1
+                seen[rows, p] = True
                 best.add(rows, q[rows], None if own is None else own[rows], *self.groups[p])
 
-        for p in np.argsort(bound.min(0), kind="stable") if self.groups else []:
-            if p == home:
-                continue
+        near = bound.min(0, initial=np.inf) if len(q) else bound.sum(0)
+        for p in np.lexsort((near, ~home)):
             # an equal bound can still bring a smaller id
-            rows = np.flatnonzero((bound[:, p] <= best.d[:, -1]) & (best.d[:, -1] > enough))
-            if only_votes and self.mask[p] in (1, 2):
+            rows = np.flatnonzero(bound[:, p] <= best.d[:, -1])
+            if not home[p]:
+                rows = rows[~done[rows]]
+            if only_votes and not home[p] and self.mask[p] in (1, 2):
                 settled = best.unanimous(rows, int(self.mask[p]) >> 1)
                 put_off.append((p, rows[settled]))
                 rows = rows[~settled]
             visit(p, rows)
+            if home[p]:
+                done = best.d[:, -1] <= enough  # once all of the own key has been searched
         for p, rows in put_off:
             rows = rows[(bound[rows, p] <= best.d[rows, -1]) & ~best.unanimous(rows, int(self.mask[p]) >> 1)]
             visit(p, rows)
         if stats is not None:
-            stats.append(seen)
+            of_key = np.flatnonzero(np.diff(self.keys, prepend=-1))
+            stats.append(np.logical_or.reduceat(seen, of_key, 1).sum(1) if len(of_key) else np.zeros(len(q), np.int64))
         return best
 
 
@@ -150,6 +171,11 @@ def collect_references(references: DataFrame, columns: list[str]) -> References:
     return References(t["ref_id"].to_numpy(), x, t["label"].to_numpy().astype(np.int64), t["pk"].to_numpy())
 
 
+def few(references: DataFrame, columns: list[str]) -> bool:
+    """Whether references may be broadcast: their numbers in memory, 8 bytes each, are no more than BROADCAST_BYTES."""
+    return references.count() * (len(columns) + 3) * 8 <= C.BROADCAST_BYTES
+
+
 def searcher(sent, columns: list[str], k: int, leave_out: bool, per_query, only_votes: bool = False, enough: float = -1.0):
     """A function for mapInArrow over queries (query_id, pk, columns): per_query makes a batch of ids and their nearest."""
 
@@ -195,7 +221,7 @@ def _block_search(columns: list[str], k: int, leave_out: bool):
     return run
 
 
-def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: int, leave_out: bool, block_rows: int) -> tuple[DataFrame, DataFrame]:
+def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: int, leave_out: bool, block_rows: int, enough: float = -1.0) -> tuple[DataFrame, DataFrame]:
     """The neighbours, and (query_id, partitions): how many partition keys each query reached, for those that reached any."""
     # new attributes: queries and references of one table could not be told apart in the cogroup
     references = references.select("pk", "ref_id", "label", *[F.col(c).alias(c) for c in columns])
@@ -219,7 +245,7 @@ def _blocks(queries: DataFrame, references: DataFrame, columns: list[str], k: in
     radius = home.where(F.col("rank") == k).select("query_id", F.col("d2").alias("radius"))
     known = queries.withColumnRenamed("pk", "own").join(radius, "query_id", "left").withColumn("radius", F.coalesce("radius", F.lit(-1).cast("long")))
     low, high = [F.col(f"l{d}") for d in range(len(columns))], [F.col(f"h{d}") for d in range(len(columns))]
-    reach = (F.col("radius") < 0) | (box_bound([F.col(c) for c in columns], low, high) <= F.col("radius"))
+    reach = (F.col("radius") < 0) | (F.col("radius") > enough) & (box_bound([F.col(c) for c in columns], low, high) <= F.col("radius"))
     other = known.join(boxes, (F.col("own") != F.col("pk")) & reach).select("pk", "parts", "query_id", "radius", *columns)
     both = home.unionByName(probe(other))
     reached = own.select("query_id").unionByName(other.select("query_id")).groupBy("query_id").agg(F.count("*").alias("partitions"))
@@ -230,19 +256,20 @@ def knn(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: bool
     """queries (query_id, q..) and references (ref_id, q.., label) -> (query_id, rank, ref_id, d2, label).
 
     leave_out: a reference with the query's id isn't its neighbour. A query without references has no rows.
-    approximate: with "broadcast", stop at k neighbours within EARLY_STOP; if a query never gets there, its rows are exact.
+    approximate: a query with k neighbours of its own partition key within EARLY_STOP has those; the others' rows are exact.
     """
     columns = columns or Q
     if columns == Q:
         queries, references = with_key(queries), with_key(references)
     else:
         queries, references = queries.withColumn("pk", F.lit(0)), references.withColumn("pk", F.lit(0))
+    enough = float(C.EARLY_STOP) if approximate else -1.0
     if strategy == "auto":
-        strategy = "broadcast" if references.count() <= C.BROADCAST_REFERENCES else "blocks"
+        strategy = "broadcast" if few(references, columns) else "blocks"
     if strategy == "broadcast":
-        return _broadcast(queries, references, columns, k, leave_out, float(C.EARLY_STOP) if approximate else -1.0)
+        return _broadcast(queries, references, columns, k, leave_out, enough)
     if strategy == "blocks":
-        return _blocks(queries, references, columns, k, leave_out, block_rows)[0]
+        return _blocks(queries, references, columns, k, leave_out, block_rows, enough)[0]
     raise ValueError(f"no strategy {strategy}")
 
 
@@ -268,7 +295,7 @@ def vote(queries: DataFrame, references: DataFrame, k: int = C.K, leave_out: boo
     from txscore.functions.scalar import decision
 
     if sent is None:
-        if references.count() > C.BROADCAST_REFERENCES:
+        if not few(references, Q):
             found, reached = _blocks(with_key(queries), with_key(references), Q, k, leave_out, BLOCK_ROWS)
             none = F.coalesce("partitions", F.lit(0).cast("long")).alias("partitions")
             return votes(queries, found).join(reached, "query_id", "left").select("query_id", "fraud_count", "fraud_score", "approved", none)

@@ -72,6 +72,28 @@ _TOP = _VEC + f""",
 near as (select a.event_id query_id, min((({_dist("a", "b")}) * 1048576 + b.event_id) * 2 + b.label, 5) top from vec a join vec b on a.event_id != b.event_id group by 1),
 knn as (select query_id, i::integer rank, (top[i] // 2) % 1048576 ref_id, (top[i] // 2) // 1048576 d2, (top[i] % 2)::integer as label from (select *, unnest(range(1, len(top) + 1)) i from near))"""
 _VOTE = f"with {_TOP} select query_id, sum(label)::integer fraud_count, sum(label) / 5.0::double fraud_score, sum(label) < 3 approved from knn group by 1"
+_BOXES = f", keyed as (select *, {_KEY} pk from vec), boxes as (select pk, count(*) n, bit_or(1 << label)::integer mask, " + ", ".join(f"min(q{d}) l{d}, max(q{d}) h{d}" for d in _D) + " from keyed group by pk)"
+_GAP = " + ".join(f"greatest(l{d} - q{d}, q{d} - h{d}, 0)::bigint * greatest(l{d} - q{d}, q{d} - h{d}, 0)::bigint" for d in _D)
+_OWN = f""", own as (select a.event_id query_id, min((({_dist("a", "b")}) * 1048576 + b.event_id) * 2 + b.label, 5) top from keyed a join keyed b on a.event_id != b.event_id and a.pk = b.pk group by 1),
+taken as (select query_id, case when len(own.top) = 5 and (own.top[5] // 2) // 1048576 <= {C.EARLY_STOP} then own.top else near.top end as top from near left join own using (query_id))"""
+
+
+def _leaves(turns: int = 10) -> str:
+    """Leaves halved at exact medians; more turns than partitions of the test tables need."""
+    values = "[" + ", ".join(f"q{d}" for d in _D) + "]"
+    box = ", ".join(f"min(q{d}) l{d}, max(q{d}) h{d}" for d in _D)
+    out = [_KEYED, "x0 as (select *, pk::bigint leaf from keyed)"]
+    for k in range(turns):
+        out.append(f"b{k} as (select leaf, n, {_WIDE} dim from (select leaf, count(*) n, {box} from x{k} group by leaf))")
+        out.append(f"p{k} as (select x{k}.*, n, row_number() over (partition by leaf order by {values}[dim + 1], event_id) - 1 place from x{k} join b{k} using (leaf))")
+        out.append(f"x{k + 1} as (select * exclude (leaf, n, place), case when n > {C.LEAF_SIZE} then 2 * leaf + 256 + (place >= n // 2)::bigint else leaf end leaf from p{k})")
+    return "with " + ",\n".join(out) + f" select leaf, count(*) n, bit_or(1 << label)::integer mask, {box} from x{turns} group by leaf"
+
+
+# as _TOP, with a query among its own neighbours
+_ALL = _VEC + f""",
+near as (select a.event_id query_id, min((({_dist("a", "b")}) * 1048576 + b.event_id) * 2 + b.label, 5) top from vec a cross join vec b where a.event_id % 8 > 3 group by 1),
+counted as (select event_id query_id, event_id % 8 > 3 valid, coalesce(list_sum(list_transform(top, lambda t: t % 2)), 0) n from vec left join near on query_id = event_id)"""
 _JSON_OUT = """'{"approved":' || (case when n < 3 then 'true' else 'false' end) || ',"fraud_score":' || (n / 5.0::double)::varchar || '}'"""
 
 ORACLES = {
@@ -100,5 +122,13 @@ ORACLES = {
     "json_payload_parse": f"with {_TX} select event_id, true valid, round(amount, 9) amount, installments::bigint installments, tx_count_24h, mcc, is_online, card_present, round(km_from_home, 9) km_from_home, mins epoch_minutes, h::integer as hour, wd::integer weekday, has_last, coalesce(last_mins, 0) last_minutes from tx",
     "fraud_response_json": f"select n, {_JSON_OUT} response from range(6) t(n)",
     "stream_score": f"with {_TOP} select query_id, sum(label)::integer fraud_count, sum(label) / 5.0::double fraud_score, sum(label) < 3 approved from knn group by 1",
+    "knn_approximate": f"with {_TOP}{_BOXES}{_OWN} select query_id, i::integer rank, (top[i] // 2) % 1048576 ref_id, (top[i] // 2) // 1048576 d2, (top[i] % 2)::integer as label from (select *, unnest(range(1, len(top) + 1)) i from taken)",
+    "index_leaves": _leaves(),
+    "probe_stats": f"with {_TOP}{_BOXES}, fifth as (select query_id, max(d2) filter (rank = 5) d5, sum(label) v from knn group by 1), each as (select query_id, v, count(*) c from fifth join keyed on event_id = query_id join boxes on boxes.pk = keyed.pk or {_GAP} <= d5 group by 1, 2) select c partitions_visited, count(*) queries, sum(v)::bigint votes from each group by 1",
+    "index_append": f"with {_BOX} select pk, n, mask, " + ", ".join(f"l{d}, h{d}" for d in _D) + " from boxes",
+    "payload_edges": f"with {_TX}, odd as (select *, event_id % 10 o, event_id % 10 not in (1, 2, 3, 4, 7, 9) valid from tx) select event_id, valid, case when valid then case when o = 5 then 0 else installments end end::bigint installments, case when valid then has_last and o != 8 end has_last, case when valid then not unknown_merchant end as known from odd",
+    "known_merchant": "with m as (select event_id, event_id % 20 j, 'MERC-' || lpad((cast(json_extract_string(props, '$.k') as integer) % 20)::varchar, 3, '0') id from events) select event_id, j not in (7, 8) and (id = 'MERC-' || lpad(j::varchar, 3, '0') or j % 3 = 0) as known from m",
+    "score_json": f"with {_ALL} select query_id, valid, n::integer fraud_count, n / 5.0::double fraud_score, n < 3 approved, {_JSON_OUT} response from counted",
+    "reference_json": f"with {_VEC} select label, count(*) n, " + ", ".join(f"sum(q{d})::bigint q{d}" for d in _D) + " from vec group by label",
     "index_counts": f"with {_BOX} select (select count(*) from vec) points, (select sum(label) from vec)::bigint fraud, (select count(*) from boxes) partitions",
 }

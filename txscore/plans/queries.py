@@ -16,14 +16,20 @@ from txscore.functions.scalar import Q
 from txscore.operators import index, knn
 from txscore.plans.oracles import ORACLES  # noqa: F401
 from txscore.sources.payload import parse_payloads
-from txscore.sources.tables import event_vectors, read, synthetic_vectors, transactions
+from txscore.sources.tables import event_vectors, read, read_references, synthetic_vectors, transactions
+from txscore.streaming.scorer import Scorer
+
 
 def _unknown():
     return F.col("unknown_merchant")
 
 
 def _shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
     return f"{root.rstrip('/')}/txscore/{name}-{uuid.uuid4().hex}"
 
 
@@ -140,19 +146,25 @@ def knn_vote_blocks(spark, sf_dir):
 
 
 def knn_approximate(spark, sf_dir):
-    """Neighbours that may not be the nearest where five within the early-stop distance were found first."""
-    return knn.knn(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True, strategy="broadcast", approximate=True)
+    """Neighbours that may not be the nearest where five of the own partition are within the early-stop distance."""
+    return knn.knn(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True, approximate=True)
 
 
 def index_leaves(spark, sf_dir):
     """Bounds and label masks of the leaves below the partitions."""
-    return index.bounds(index.leaves(_references(spark, sf_dir)), "leaf")
+    return index.bounds(index.leaves(_references(spark, sf_dir), _shared(spark, "leaves")), "leaf")
 
 
 def probe_stats(spark, sf_dir):
-    """How many partitions each query had to visit, and how many there are."""
-    found = knn.vote(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True)
-    return found.groupBy(F.col("partitions").alias("partitions_visited")).agg(F.count("*").alias("queries"), F.sum("fraud_count").cast("long").alias("votes"))
+    """How many partitions an exact search must visit: the own one, and those whose boxes the fifth neighbour's distance reaches."""
+    queries, references = _queries(spark, sf_dir), _references(spark, sf_dir)
+    found = knn.knn(queries, references, leave_out=True).groupBy("query_id").agg(F.max(F.when(F.col("rank") == C.K, F.col("d2"))).alias("d5"), F.sum("label").alias("votes"))
+    asked = index.with_key(queries).withColumnRenamed("pk", "own").join(found, "query_id")
+    boxes = F.broadcast(index.bounds(index.with_key(references)))  # 256 rows at most
+    low, high = [F.col(f"l{d}") for d in range(C.DIM)], [F.col(f"h{d}") for d in range(C.DIM)]
+    reached = asked.join(boxes, (F.col("own") == F.col("pk")) | (scalar.box_bound([F.col(q) for q in Q], low, high) <= F.col("d5")))
+    each = reached.groupBy("query_id", "votes").agg(F.count("*").alias("partitions_visited"))
+    return each.groupBy("partitions_visited").agg(F.count("*").alias("queries"), F.sum("votes").cast("long").alias("votes"))
 
 
 def embedding_knn(spark, sf_dir):
@@ -191,29 +203,105 @@ def json_payload_parse(spark, sf_dir):
     return flat.select(F.col("query_id").alias("event_id"), "valid", F.round("amount", 9).alias("amount"), "installments", "tx_count_24h", "mcc", "is_online", "card_present", F.round("km_from_home", 9).alias("km_from_home"), "epoch_minutes", "hour", "weekday", "has_last", "last_minutes")
 
 
+def payload_edges(spark, sf_dir):
+    """Payloads with every tenth in its own way odd: which are valid, and what of them is read."""
+    rows = payload_json(_tx(spark, sf_dir))
+    value, odd = F.col("value"), F.pmod("query_id", F.lit(10))
+    edits = {
+        1: F.lit(None).cast("string"),
+        2: F.substring(value, 1, 40),
+        3: F.replace(value, F.lit('"tx_count_24h":'), F.lit('"tx_count_24h":-')),
+        4: F.regexp_replace(value, '"mcc":"[0-9]+"', '"mcc":null'),
+        5: F.regexp_replace(value, '"installments":[0-9]+,', ""),
+        6: F.replace(value, F.lit('{"id"'), F.lit('{ "extra" : [1, {"a": null}],\n "id"')),
+        7: F.regexp_replace(value, '"requested_at":"([0-9]{4})-[0-9]{2}', '"requested_at":"$1-13'),
+        8: F.regexp_replace(value, r'"last_transaction":\{[^}]*\}', '"last_transaction":null'),
+        9: F.regexp_replace(value, r'"known_merchants":\[[^\]]*\]', '"known_merchants":null'),
+    }
+    for k, edit in edits.items():
+        value = F.when(odd == k, edit).otherwise(value)
+    flat = parse_payloads(rows.withColumn("value", value))
+    known = scalar.known_merchant(F.col("merchant_id"), F.col("known_merchants"))
+    only = lambda c: F.when(F.col("valid"), c)
+    return flat.select(F.col("query_id").alias("event_id"), "valid", only(F.col("installments")).alias("installments"), only(F.col("has_last")).alias("has_last"), only(known).alias("known"))
+
+
+def known_merchant(spark, sf_dir):
+    """Whether a merchant's id is in a list, among ids that begin alike, an empty one and a null."""
+    m = _tx(spark, sf_dir).select("event_id", "merchant_id", F.pmod("event_id", F.lit(20)).alias("j"))
+    other = F.concat(F.lit("MERC-"), F.lpad(F.col("j").cast("string"), 3, "0"))
+    asked = F.when(F.col("j") == 7, "").when(F.col("j") == 8, F.substring("merchant_id", 1, 7)).otherwise(F.col("merchant_id"))
+    listed = F.array(F.lit(""), F.lit("MERC-0"), other, F.when(F.col("j") % 3 == 0, F.col("merchant_id")))
+    return m.select("event_id", scalar.known_merchant(asked, listed).alias("known"))
+
+
+def score_json(spark, sf_dir):
+    """Requests end to end, from JSON to the answer: of each eight one is missing, one cut off, one too long, one with a count below 0."""
+    rows = payload_json(_tx(spark, sf_dir))
+    value, odd = F.col("value"), F.pmod("query_id", F.lit(8))
+    cut, long = F.substring(value, 1, 40), F.concat(value, F.lit(" " * 5_000))
+    negative = F.replace(value, F.lit('"installments":'), F.lit('"installments":-'))
+    edited = F.when(odd == 0, F.lit(None)).when(odd == 1, cut).when(odd == 2, long).when(odd == 3, negative).otherwise(value)
+    return Scorer(_references(spark, sf_dir)).score(rows.select("query_id", edited.alias("value")))
+
+
+def reference_json(spark, sf_dir):
+    """References written as JSON arrays of records, read back, and summed up by label."""
+    path = _shared(spark, "reference-json")
+    real = F.array(*[F.col(q) / F.lit(float(C.SCALE)) for q in Q])
+    label = F.when(F.col("label") == C.FRAUD, "fraud").otherwise("legit")
+    records = _references(spark, sf_dir).select(F.floor(F.col("ref_id") / 1_000).alias("file"), F.to_json(F.struct(real.alias("vector"), label.alias("label"))).alias("r"))
+    # an array is a file, as it can't be split: of a thousand records each
+    arrays = records.groupBy("file").agg(F.concat(F.lit("["), F.array_join(F.collect_list("r"), ","), F.lit("]")).alias("value"))
+    arrays.write.partitionBy("file").text(path)
+    back = read_references(spark, path)
+    return back.groupBy("label").agg(F.count("*").alias("n"), *[F.sum(q).alias(q) for q in Q])
+
+
 def fraud_response_json(spark, sf_dir):
     n = spark.range(C.K + 1).select(F.col("id").alias("n"))
     return n.select("n", scalar.response(*scalar.decision(F.col("n"))).alias("response"))
 
 
 def stream_score(spark, sf_dir):
-    """All events as one available-now stream: vectors in files, searched batch by batch against broadcast references."""
+    """All events as one available-now stream: vectors in files, searched batch by batch against the references."""
     source, sink, state = (_shared(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     queries, references = _queries(spark, sf_dir), _references(spark, sf_dir)
     queries.write.parquet(source)
-    sent = spark.sparkContext.broadcast(knn.collect_references(index.with_key(references), Q))
     stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 64).parquet(source)
-    found = knn.vote(stream, references, leave_out=True, sent=sent).drop("partitions")
-    found.writeStream.format("parquet").option("path", sink).option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.schema(found.schema).parquet(sink)
+    if knn.few(references, Q):
+        sent = spark.sparkContext.broadcast(knn.collect_references(index.with_key(references), Q))
+        answers = knn.vote(stream, references, leave_out=True, sent=sent).drop("partitions").writeStream.format("parquet").option("path", sink)
+    else:
+
+        def answer(batch: DataFrame, number: int) -> None:
+            # a batch that is done again writes its own folder again
+            knn.vote(batch, references, leave_out=True).drop("partitions").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+
+        answers = stream.writeStream.foreachBatch(answer)
+    answers.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema("query_id long, fraud_count int, fraud_score double, approved boolean").parquet(sink).select("query_id", "fraud_count", "fraud_score", "approved")
+
+
+def _header(spark, path) -> DataFrame:
+    _, _, header = index.open_index(spark, path)
+    return spark.createDataFrame([(header["points"], header["fraud"], header["partitions"])], "points long, fraud long, partitions long")
 
 
 def index_counts(spark, sf_dir):
     """Builds an index, opens it with its checks, and reports its header."""
     path = _shared(spark, "index")
     index.build_index(_references(spark, sf_dir), path)
-    _, _, header = index.open_index(spark, path)
-    return spark.createDataFrame([(header["points"], header["fraud"], header["partitions"])], "points long, fraud long, partitions long")
+    return _header(spark, path)
+
+
+def index_append(spark, sf_dir):
+    """Builds an index of two thirds of the references, appends the rest, and returns the partitions' bounds that it has then."""
+    path, references = _shared(spark, "index"), _references(spark, sf_dir)
+    index.build_index(references.where("ref_id % 3 != 0"), path)
+    index.append_index(references.where("ref_id % 3 = 0"), path)
+    _, partitions, _ = index.open_index(spark, path)
+    return partitions.select("pk", "n", "mask", *[f"{s}{d}" for d in range(C.DIM) for s in "lh"])
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -246,4 +334,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "probe_stats": probe_stats,
     "stream_score": stream_score,
     "index_counts": index_counts,
+    "index_append": index_append,
+    "payload_edges": payload_edges,
+    "known_merchant": known_merchant,
+    "score_json": score_json,
+    "reference_json": reference_json,
 }

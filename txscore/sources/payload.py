@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -26,10 +28,10 @@ _NOT_NULL = ["transaction", "transaction.amount", "transaction.installments", "t
 _MOST = 4_294_967_295
 
 
-def _nulls(text: Column) -> Column:
-    """Whether one of the places is a null; a missing one isn't, nor is one of text that is no JSON."""
-    parsed = F.try_parse_json(text)
-    return F.exists(F.array(*[F.coalesce(F.is_variant_null(F.try_variant_get(parsed, f"$.{p}", "variant")), F.lit(False)) for p in _NOT_NULL]), lambda x: x)
+def _nulls(parsed: Column) -> Column:
+    """Whether one of the places of a parsed text is a null; a missing one isn't, nor is one of text that is no JSON."""
+    tests = [F.coalesce(F.is_variant_null(F.try_variant_get(parsed, f"$.{p}", "variant")), F.lit(False)) for p in _NOT_NULL]
+    return reduce(lambda a, b: a | b, tests)
 
 
 def parse_payloads(rows: DataFrame, text: str = "value") -> DataFrame:
@@ -41,7 +43,9 @@ def parse_payloads(rows: DataFrame, text: str = "value") -> DataFrame:
     """
     p = F.from_json(F.col(text), PAYLOAD_DDL, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     keep = [c for c in rows.columns if c != text]
-    x = rows.select(*keep, F.col(text).alias("_text"), p.alias("p")).withColumn("_nulls", _nulls(F.col("_text")))
+    x = rows.select(*keep, F.col(text).alias("_text"), p.alias("p"), F.try_parse_json(F.col(text)).alias("_parsed"))
+    # a generator's output is computed once; a projected one would be parsed again for each test
+    x = x.withColumn("_parsed", F.explode(F.array("_parsed"))).withColumn("_nulls", _nulls(F.col("_parsed")))
     c = F.col
     at, last = timestamp_parts(c("p.transaction.requested_at")), timestamp_parts(c("p.last_transaction.timestamp"))
     x = x.withColumn("_at", at).withColumn("_last", last)

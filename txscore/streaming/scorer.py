@@ -5,11 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from txscore import config as C
 from txscore.functions.features import vectorize
 from txscore.functions.scalar import Q, response
 from txscore.operators.index import open_index, with_key
-from txscore.operators.knn import collect_references, vote
+from txscore.operators.knn import collect_references, few, vote
 from txscore.sources.payload import parse_payloads
 
 #: Longer requests are answered like ones that can't be read.
@@ -20,7 +19,7 @@ class Scorer:
     """Holds the references of an index, broadcast once; every micro-batch reuses them."""
 
     def __init__(self, references: DataFrame):
-        if references.count() > C.BROADCAST_REFERENCES:
+        if not few(references, Q):
             raise ValueError("too many references to broadcast; score batches with operators.knn in blocks")
         self.references = references
         self.sent = references.sparkSession.sparkContext.broadcast(collect_references(with_key(references.drop("pk")), Q))
@@ -54,8 +53,11 @@ class Scorer:
         )
 
 
-def score_stream(scorer: Scorer, source: str, sink: str, checkpoint: str, files_per_batch: int = 100):
-    """Reads JSON lines ({"query_id": .., "value": ".."}) from a folder as they come and appends answers to a parquet folder."""
+def score_stream(scorer: Scorer, source: str, sink: str, checkpoint: str, files_per_batch: int = 100, every: str | None = None):
+    """Reads JSON lines ({"query_id": .., "value": ".."}) from a folder as they come and appends answers to a parquet folder.
+
+    every: the time between batches of a stream that goes on ("1 second"); without it, it ends when all that is there is answered.
+    """
     spark = scorer.references.sparkSession
     lines = spark.readStream.schema("query_id long, value string").option("maxFilesPerTrigger", files_per_batch).json(source)
-    return scorer.score(lines).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+    return scorer.score(lines).writeStream.format("parquet").option("path", sink).option("checkpointLocation", checkpoint).outputMode("append").trigger(**({"processingTime": every} if every else {"availableNow": True})).start()
