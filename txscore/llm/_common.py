@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 
@@ -78,7 +80,23 @@ def join_skewed(rows: DataFrame, groups: DataFrame, by: list[str], values: list[
 def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     """Bounds what one Arrow batch of long texts holds, by rows and (where Spark has it) by bytes."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+
+
+def released(run):
+    """run, a function over Arrow batches, that gives back the memory of its task at its end: workers live on for other tasks."""
+
+    def out(batches):
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return out
 
 
 def as_bytes(column: pa.Array) -> list:

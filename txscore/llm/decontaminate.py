@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from txscore.llm._common import as_bytes, materialize, small_batches
+from txscore.llm._common import as_bytes, materialize, released, small_batches
 
 WINDOW = 13
 #: Of a document's words, the share (one in so many) from which on it counts as contaminated.
@@ -42,7 +42,7 @@ SHARE = 20
 BLOCK_BYTES = 16 << 20
 PIECE_WORDS = 1 << 14
 #: Words of a shard.
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 #: Words of the shortest matches that are told, and of the keys that filter places.
 LEAST = 3
 _DEPTH = 16
@@ -341,7 +341,7 @@ def _scan(index, text_at: int, state: str | None, finish):
                 batch = batch.remove_column(at)
             yield finish(batch, found)
 
-    return run
+    return released(run)
 
 
 def _hit(spans: np.ndarray) -> int:

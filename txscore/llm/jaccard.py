@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from txscore.llm._common import as_bytes, discard, materialize, materialize_few, small_batches
+from txscore.llm._common import as_bytes, discard, materialize, materialize_few, released, small_batches
 from txscore.llm.components import connected_components
 
 #: log2 of the counters of the sketch of shingle frequencies, and of those in a block of it; fixed, so what is broadcast is too.
@@ -302,7 +302,7 @@ def _sets_of(nodes: DataFrame, docs: DataFrame, n: int) -> DataFrame:
     found = nodes.mapInArrow(slots, "at long, bits long").groupBy("at").agg(F.bit_or("bits").alias("bits")).toArrow()
     table[found["at"].to_numpy()] = found["bits"].to_numpy()
     bits = docs.sparkSession.sparkContext.broadcast(table.tobytes())
-    return materialize(docs.mapInArrow(_wanted_sets(n, bits), "node long, s array<long>"), "wanted")
+    return materialize(docs.mapInArrow(released(_wanted_sets(n, bits)), "node long, s array<long>"), "wanted")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, limit: Threshold) -> DataFrame:
@@ -339,16 +339,16 @@ def _joined(docs: DataFrame, n: int, percent: int, want: str) -> DataFrame:
     spark, limit = docs.sparkSession, Threshold(percent)
     small_batches(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    first = materialize(docs.mapInArrow(_sets(n), _ROW_SQL), "sets")
+    first = materialize(docs.mapInArrow(released(_sets(n)), _ROW_SQL), "sets")
     counts = _sketch(first)
     rows = first.where("kind = 0")
     docs_of = [F.count_distinct("doc_id").alias("docs")] if want == "links" else []
     classes = rows.where("doc_id is not null and hi is not null").groupBy("hi", "lo").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), *docs_of)
     classes = materialize(classes, "classes")
-    entries = docs.mapInArrow(_prefixes(n, limit, spark.sparkContext.broadcast(counts)), _PREFIX_SQL)
+    entries = docs.mapInArrow(released(_prefixes(n, limit, spark.sparkContext.broadcast(counts))), _PREFIX_SQL)
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sorted_entries = entries.repartition(parts, "token").sortWithinPartitions("token", "n", "hi", "lo")
-    found = materialize(sorted_entries.mapInArrow(_buckets(limit), _FOUND_SQL), "found")
+    found = materialize(sorted_entries.mapInArrow(released(_buckets(limit)), _FOUND_SQL), "found")
 
     def rep(df, hi, lo, name):
         return df.join(classes.select(F.col("hi").alias(hi), F.col("lo").alias(lo), F.col("rep").alias(name)), [hi, lo]).drop(hi, lo)
@@ -474,7 +474,7 @@ def _within(component: DataFrame, classes: DataFrame, sets: DataFrame, limit: Th
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", (F.col("block") > F.col("other")).alias("side"), "docs", "s")
     dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
-    found = dealt.mapInArrow(_block_links(limit, want), "a long, b long" if want == "pairs" else "node long, linked long")
+    found = dealt.mapInArrow(released(_block_links(limit, want)), "a long, b long" if want == "pairs" else "node long, linked long")
     return found if want == "pairs" else found.groupBy("node").agg(F.sum("linked").alias("linked"))
 
 
@@ -515,7 +515,7 @@ def _likely(large: DataFrame, component: DataFrame, tested: DataFrame, limit: Th
     own = _owned(large, component).select("token", "node", "component", "n", "pos", "c1", "c2")
     mixed = own.groupBy("token").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x != y").select("token")
     own = own.join(mixed, "token").repartition(parts, "token").sortWithinPartitions("token", F.xxhash64("node", F.lit(turn)), "node")
-    pairs = own.mapInArrow(_passing(limit), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    pairs = own.mapInArrow(released(_passing(limit)), "a long, b long").groupBy("a", "b").agg(F.count("*").alias("shared"))
     pairs = pairs.join(tested, ["a", "b"], "left_anti")
     best = Window.partitionBy("a").orderBy(F.desc("shared"), "b")
     pairs = materialize_few(pairs.withColumn("k", F.row_number().over(best)).where(F.col("k") <= TRIES).select("a", "b"), "tried")

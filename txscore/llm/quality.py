@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from txscore.llm._common import as_bytes, bounded_sample, small_batches
+from txscore.llm._common import as_bytes, bounded_sample, released, small_batches
 from txscore.llm.features import Surface
 from txscore.llm.toxicity import fold
 
@@ -85,7 +85,7 @@ def fit(docs: DataFrame, ratings: DataFrame, bits: int = BITS, rows: int = TRAIN
     small_batches(docs.sparkSession)
     rated = ratings.select("doc_id", F.col("grade").cast("int").alias("grade")).where("grade is not null")
     sample = bounded_sample(rated, docs, rows, seed).select(F.col("doc_id").cast("long"), "text", "grade")
-    return sample.repartition(1).mapInArrow(_fit(bits, epochs, seed), "kind string, at long, value double")
+    return sample.repartition(1).mapInArrow(released(_fit(bits, epochs, seed)), "kind string, at long, value double")
 
 
 _NEW = [("expected_grade", pa.float64(), "double"), ("tail_probability", pa.float64(), "double"), ("predicted_grade", pa.int32(), "integer")]
@@ -134,7 +134,7 @@ def grade(docs: DataFrame, model: DataFrame, tail: int | None = None, bits: int
 def select(docs: DataFrame, model: DataFrame, tail: int | None = None, least: float = 0.5, bits: int = BITS) -> DataFrame:
     """The documents whose tail probability is at least `least`, with all their columns."""
     plain = docs.toDF(*[f"c{k}" for k in range(len(docs.columns))])  # Arrow functions take no names with dots
-    return plain.mapInArrow(_grade(bits, _model(docs, model), docs.columns.index("text"), tail, least), plain.schema).toDF(*docs.columns)
+    return plain.mapInArrow(released(_grade(bits, _model(docs, model), docs.columns.index("text"), tail, least)), plain.schema).toDF(*docs.columns)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> DataFrame:
