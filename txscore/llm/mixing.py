@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txscore.llm._common import materialize, materialize_few
+from txscore.llm._common import materialize
 
 WEIGHTS = (1, 2, 3)
 #: No document is taken more often, and no target is more times its source's size.
@@ -28,7 +28,9 @@ CAP = 3
 BROADCAST_SOURCES = 20_000
 _WORD = r"[^\x20\x09-\x0D]+"
 _KEY = ["_none", "_source"]
-_STEPS, _SEARCHES, _WAYS = 60, 6, 20
+_STEPS = 60
+#: Rates, own thresholds and shifts are whole numbers of 2^-_TICK_BITS; a search of shifts from -1 to 1 takes three passes of _WAYS.
+_TICK_BITS, _WAYS = 26, 512
 #: Times that what a source misses its target by is closed with short documents.
 REFINEMENTS = 1
 
@@ -94,30 +96,42 @@ def tilts(counts: DataFrame, sources: DataFrame, n_sources: int, cap: int = CAP)
 
 
 def _copies(shift, cap: int):
-    return F.least(F.greatest(F.floor(F.col("rate") + F.col("own") + shift), F.lit(0)), F.lit(cap))
+    """Copies of a document whose rate and own threshold make `ticks`, after a shift."""
+    return F.least(F.greatest(F.shiftright(F.col("ticks") + shift, _TICK_BITS), F.lit(0).cast("long")), F.lit(cap).cast("long"))
 
 
 def shifts(rated: DataFrame, sources: DataFrame, n_sources: int, cap: int = CAP) -> DataFrame:
-    """rated (key, size, rate, own) -> (key, shift, missing): copies whose words are nearest to the target, and what they miss it by."""
-    state = materialize(sources.where("target > 0").select(*_KEY, "target", F.lit(-1.0).alias("lo"), F.lit(1.0).alias("hi"), F.lit(None).cast("long").alias("w_lo"), F.lit(None).cast("long").alias("w_hi")), "shifts")
-    at = [F.col("lo") + (F.col("hi") - F.col("lo")) * k / _WAYS for k in range(_WAYS + 1)]
-    for turn in range(_SEARCHES):
+    """rated (key, size, ticks) -> (key, shift, missing): copies whose words are nearest to the target, and what they miss it by.
+
+    Each pass cuts a source's range of shifts into _WAYS and sums the words of the copies that begin in each, so a task
+    sends _WAYS rows a source at most; the last one's ways are single ticks. All numbers are whole.
+    """
+    one = 1 << _TICK_BITS
+    whole = lambda x: F.lit(x).cast("long")
+    state = sources.where("target > 0").select(*_KEY, "target", whole(-one).alias("lo"), whole(one).alias("hi"), whole(None).alias("w_lo"), whole(None).alias("w_hi"))
+    step = 2 * one
+    while step > 1:
+        began, step = step, step // _WAYS
         placed = _by_source(rated, state.select(*_KEY, "lo", "hi"), n_sources)
-        least = _copies(F.col("lo"), cap)
-        more = [F.sum(F.col("size") * (_copies(at[k], cap) - least)).alias(f"m{k}") for k in range(1, _WAYS + 1)]
-        sums = placed.groupBy(*_KEY).agg(F.sum(F.col("size") * least).alias("all"), *more)
-        both = state.drop("w_hi").join(F.broadcast(sums) if n_sources <= BROADCAST_SOURCES else sums, _KEY, "left")
-        # documents that left the search are in w_lo, and take as many copies at either end
-        base = F.coalesce("w_lo", "all", F.lit(0).cast("long"))
-        words = [base, *(base + F.coalesce(f"m{k}", F.lit(0).cast("long")) for k in range(1, _WAYS + 1))]
-        # the last way that doesn't take more than the target; the sums rise
-        k = sum((F.when(words[j] <= F.col("target"), 1).otherwise(0) for j in range(1, _WAYS)), F.lit(0)).cast("int")
-        ends, totals = F.array(*at), F.array(*words)
-        new = both.withColumn("k", k).select(*_KEY, "target", F.get(ends, F.col("k")).alias("lo"), F.get(ends, F.col("k") + 1).alias("hi"), F.get(totals, F.col("k")).alias("w_lo"), F.get(totals, F.col("k") + 1).alias("w_hi"))
-        state = materialize(new, "shifts")
-        if turn < _SEARCHES - 1:
-            left = _by_source(rated, state.select(*_KEY, "lo", "hi"), n_sources).where(_copies(F.col("lo"), cap) != _copies(F.col("hi"), cap))
-            rated = materialize_few(left.drop("lo", "hi"), "open")
+        least, most = _copies(F.col("lo"), cap), _copies(F.col("hi"), cap)
+        way = lambda j: F.ceil((j * one - F.col("ticks") - F.col("lo")) / step)  # noqa: B023, E731  the first way whose end takes the copy
+        more = F.when(most > least, F.transform(F.sequence(least + 1, most), lambda j: F.struct(way(j).alias("way"), F.col("size").alias("words"))))
+        if began == 2 * one:  # later on w_lo has the words of what is taken at the lower end
+            more = F.concat(F.array(F.struct(whole(0).alias("way"), (F.col("size") * least).alias("words"))), F.coalesce(more, F.array().cast("array<struct<way:bigint,words:bigint>>")))
+        sums = placed.select(*_KEY, F.explode(more).alias("r")).groupBy(*_KEY, F.col("r.way").alias("way")).agg(F.sum("r.words").alias("words"))
+        so_far = Window.partitionBy(*_KEY).orderBy("way").rowsBetween(Window.unboundedPreceding, 0)  # at most _WAYS + 1 rows a source
+        sums = _by_source(sums, state.select(*_KEY, "target", "w_lo"), n_sources).withColumn("total", F.coalesce("w_lo", whole(0)) + F.sum("words").over(so_far))
+        # the first way that takes more than the target; the totals rise
+        sums = sums.groupBy(*_KEY).agg(F.min(F.when(F.col("total") > F.col("target"), F.struct("way", "total", "words"))).alias("over"), F.max("total").alias("top"))
+        both = state.join(F.broadcast(sums) if n_sources <= BROADCAST_SOURCES else sums, _KEY, "left")
+        found, low, end = F.col("over").isNotNull(), F.col("over.way") == 0, F.col("lo") + F.col("over.way") * step
+        new = {
+            "lo": F.when(found, F.greatest("lo", end - step)).when(F.col("top").isNotNull(), F.col("hi")).otherwise(F.col("lo")),
+            "hi": F.when(found, end).otherwise(F.col("hi")),
+            "w_lo": F.when(found & ~low, F.col("over.total") - F.col("over.words")).when(found, F.col("over.total")).otherwise(F.coalesce("top", "w_lo")),
+            "w_hi": F.when(found, F.col("over.total")).otherwise(F.coalesce("top", "w_hi")),
+        }
+        state = materialize(both.select(*_KEY, "target", *[v.alias(k) for k, v in new.items()]), "shifts")
     upper = F.abs(F.col("w_hi") - F.col("target")) < F.abs(F.col("w_lo") - F.col("target"))
     return state.select(*_KEY, F.when(upper, F.col("hi")).otherwise(F.col("lo")).alias("shift"), (F.col("target") - F.when(upper, F.col("w_hi")).otherwise(F.col("w_lo"))).alias("missing"))
 
@@ -135,18 +149,18 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) ->
     known = materialize(sources.join(tilt, _KEY, "left"), "sources")
     rated = _by_source(rows, known, n_sources).withColumn("rate", F.coalesce(F.exp(F.least(F.col("tilt") * F.col("size") / F.col("unit"), F.log(F.lit(float(cap))))), F.lit(0.0)))
     # at a rate of cap the own threshold can't add a copy more
-    rated = materialize(rated.select("doc_id", "source", *_KEY, "size", "source_size", "target", "own", F.round("rate", 9).alias("rate")), "rates")
+    rated = materialize(rated.select("doc_id", "source", *_KEY, "size", "source_size", "target", F.round((F.col("rate") + F.col("own")) * (1 << _TICK_BITS)).cast("long").alias("ticks")), "rates")
     shift = shifts(rated.where("size > 0"), sources, n_sources, cap)
     for _ in range(REFINEMENTS):
         # a long document may leave a gap, which the documents that are no longer than the gap can close
         small = F.col("size") <= F.abs("missing")
-        rated = materialize(rated.drop("missing").join(F.broadcast(shift) if n_sources <= BROADCAST_SOURCES else shift, _KEY, "left").withColumn("own", F.col("own") + F.coalesce("shift", F.lit(0.0))).drop("shift"), "rates")
+        rated = materialize(rated.drop("missing").join(F.broadcast(shift) if n_sources <= BROADCAST_SOURCES else shift, _KEY, "left").withColumn("ticks", F.col("ticks") + F.coalesce("shift", F.lit(0).cast("long"))).drop("shift"), "rates")
         short = rated.where(small & (F.col("size") > 0))
-        wanted = short.groupBy(*_KEY).agg((F.sum(F.col("size") * _copies(F.lit(0.0), cap)) + F.first("missing")).alias("target"))
+        wanted = short.groupBy(*_KEY).agg((F.sum(F.col("size") * _copies(F.lit(0), cap)) + F.first("missing")).alias("target"))
         shift = shifts(short, wanted, n_sources, cap)
     missing = F.col("shift").isNotNull() & small
     out = rated.join((F.broadcast(shift) if n_sources <= BROADCAST_SOURCES else shift).drop("missing"), _KEY, "left")
-    out = out.withColumn("shift", F.when(missing, F.col("shift")).otherwise(0.0))
+    out = out.withColumn("shift", F.when(missing, F.col("shift")).otherwise(F.lit(0).cast("long")))
     copies = F.when(F.col("target") > 0, _copies(F.col("shift"), cap)).otherwise(0)
     out = out.withColumn("copies", copies.cast("long"))
     return out.select("doc_id", "source", "size", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), "copies", (F.col("copies") * F.col("size")).alias("taken"))
