@@ -144,6 +144,23 @@ def test_mixing_tilts_are_exponential(spark):
         assert words == pytest.approx({"a": 300.0, "b": 149.0}[t._source], rel=1e-5)
 
 
+def test_mixing_shifts_are_the_nearest(spark):
+    """Against every shift at which a copy begins: nothing comes nearer to the target, and what is missing is exact."""
+    r, one = random.Random(5), 1 << 26
+    rows = [(False, s, r.choice([1, 3, 40, 500]), r.randrange(4 * one)) for s, n in [("a", 60), ("b", 7), ("c", 1), ("d", 40)] for _ in range(n)]
+    rows += [(False, "d", 7, one // 2)] * 30  # ties
+    wanted = {"a": 5000.0, "b": 1.5, "c": 1e9, "d": 900.0}
+    sources = spark.createDataFrame([(False, s, t) for s, t in wanted.items()], "_none boolean, _source string, target double")
+    got = {x._source: x for x in mixing.shifts(spark.createDataFrame(rows, "_none boolean, _source string, size long, ticks long"), sources, 4).collect()}
+    assert set(got) == set(wanted)
+    for s, target in wanted.items():
+        own = [(z, t) for _, k, z, t in rows if k == s]
+        words = lambda shift: sum(z * min(max((t + shift) >> 26, 0), 3) for z, t in own)  # noqa: B023, E731
+        begins = {j * one - t for _, t in own for j in (1, 2, 3)}
+        best = min(abs(target - words(x)) for b in begins | {-one, one} for x in (b - 1, b) if -one <= x <= one)
+        assert got[s].missing == target - words(got[s].shift) and abs(got[s].missing) == best
+
+
 def test_mixing_empty(spark):
     none = spark.createDataFrame([], "doc_id long, text string, source string")
     assert mixing.mix(none).count() == 0
