@@ -102,6 +102,19 @@ def test_links_equal_brute_force(spark, monkeypatch):
     assert len(pairs) > 200 and sorted(pairs) == sorted({(first[a], first[b]) for a, b in linked if first[a] < first[b]})
 
 
+@pytest.mark.parametrize("few", [500_000, 0])
+def test_links_of_repeated_rows(spark, monkeypatch, few):
+    monkeypatch.setattr(jaccard, "BLOCK_SETS", 5)
+    monkeypatch.setattr(jaccard, "BROADCAST_NODES", few)
+    base = [f"b{i}" for i in range(60)]
+    texts = {k: " ".join([*base, f"x{k % 9}", f"y{k}"]) for k in range(30)}
+    s = {k: shingles(t, 3) for k, t in texts.items()}
+    want = {a: sum(a != b and 100 * len(s[a] & s[b]) >= 90 * len(s[a] | s[b]) for b in s) for a in s}
+    rows = [(k, t) for k, t in texts.items() for _ in range(4)]
+    got = jaccard.jaccard_join(docs(spark, rows).repartition(5)).collect()
+    assert len(got) == 120 and {(r.doc_id, r.n_links) for r in got} == set(want.items())
+
+
 def test_links_defined_cases(spark):
     assert jaccard.jaccard_join(docs(spark, [])).count() == 0
     rows = [(5, "a b c d"), (5, "a b c d"), (None, "a b c d"), (9, "a b c d"), (2, None)]

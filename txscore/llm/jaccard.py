@@ -267,13 +267,21 @@ _FOUND_SQL = "kind int, a long, b long, c long, d long, n int, pos int, c1 long,
 
 def _wanted_sets(n: int, bits):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, want = _Words(), np.frombuffer(bits.value, np.uint8)
+        words, want, seen = _Words(), np.frombuffer(bits.value, np.uint8), set()
         for batch in batches:
             ids, sets = [], []
             for doc, text in zip(batch.column(0).to_pylist(), as_bytes(batch.column(1)), strict=True):
                 if doc is not None and want[(s := _slot(doc)) >> 3] >> (s & 7) & 1:
+                    h = shingle_hashes(text, n, words).view(np.int64)
+                    # a repeated row once in a task, so that rows of one doc_id don't all meet later
+                    own = (doc, *_signature(h))
+                    if own in seen:
+                        continue
+                    if len(seen) >= 1 << 18:
+                        seen.clear()
+                    seen.add(own)
                     ids.append(doc)
-                    sets.append(shingle_hashes(text, n, words).view(np.int64))
+                    sets.append(h)
             if ids:
                 flat, ends = np.concatenate(sets), np.cumsum([0, *map(len, sets)])
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], names=["node", "s"])
@@ -435,11 +443,19 @@ def _block_links(limit: Threshold, want: str):
         def batch_of(found):
             return pa.RecordBatch.from_arrays([pa.array(np.concatenate([f[k] for f in found]), pa.int64()) for k in range(2)], names=names)
 
-        key, held = None, []
+        key, held, last = None, [], None
         for batch in batches:
             found = []
             part, i, j, node, side, docs = (batch.column(k).to_numpy(zero_copy_only=False) for k in range(6))
             sizes, flat = batch.column(6).value_lengths().to_numpy().astype(np.int64), batch.column(6).flatten().to_numpy()
+            if len(part):  # rows of one doc_id are neighbours; the first counts
+                again = np.zeros(len(part), bool)
+                again[1:] = (part[1:] == part[:-1]) & (i[1:] == i[:-1]) & (j[1:] == j[:-1]) & (node[1:] == node[:-1])
+                again[0] = last == (part[0], i[0], j[0], node[0])
+                last = (part[-1], i[-1], j[-1], node[-1])
+                if again.any():
+                    flat = flat[np.repeat(~again, sizes)]
+                    part, i, j, node, side, docs, sizes = (c[~again] for c in (part, i, j, node, side, docs, sizes))
             ends = np.concatenate([[0], np.cumsum(sizes)])
             starts = [0, *(np.flatnonzero((part[1:] != part[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1).tolist()] if len(part) else []
             for x, y in zip(starts, [*starts[1:], len(part)], strict=True) if starts else []:
@@ -464,16 +480,17 @@ def _within(component: DataFrame, classes: DataFrame, sets: DataFrame, limit: Th
     sets is many groups of bounded size, and only what is found leaves a group.
     """
     parts = int(component.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # a doc_id may have several rows; each of its sets counts once
+    # a doc_id may have several rows; it counts once, with the set whose hash is first
     docs = F.col("docs") if want == "links" else F.lit(1).cast("long")
     sizes = classes.groupBy(F.col("rep").alias("node")).agg(F.sum(docs).alias("docs"), F.sum("n").alias("n"))
     member = component.join(sizes, "node")
     blocks = member.groupBy("component").agg(F.greatest(F.ceil(F.count("*") / BLOCK_SETS), F.ceil(F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     member = materialize_few(member.join(blocks, "component").select("node", "component", "docs", "blocks", F.pmod(F.xxhash64("node"), "blocks").alias("block")), "members")
-    dealt = sets.dropDuplicates(["node"]).join(member, "node")
+    # only sets of members are dealt; their ids are of a checked number, beyond it the join shuffles all sets
+    dealt = sets.join(F.broadcast(member) if member.txscore_rows <= BROADCAST_NODES else member, "node")
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     dealt = dealt.select("component", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", (F.col("block") > F.col("other")).alias("side"), "docs", "s")
-    dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j")
+    dealt = dealt.repartition(parts, "component", "i", "j").sortWithinPartitions("component", "i", "j", "node", F.xxhash64("s"))
     found = dealt.mapInArrow(released(_block_links(limit, want)), "a long, b long" if want == "pairs" else "node long, linked long")
     return found if want == "pairs" else found.groupBy("node").agg(F.sum("linked").alias("linked"))
 
