@@ -43,5 +43,10 @@ def quantized_features(unknown: Column | None = None) -> list[Column]:
 
 
 def vectorize(tx: DataFrame, keep: list[str], unknown: Column | None = None) -> DataFrame:
-    """tx with the columns of FLAT -> keep and q0..q13, one projection."""
-    return tx.select(*keep, *quantized_features(unknown))
+    """tx with the columns of FLAT -> keep and q0..q13.
+
+    The features are quantized in an array: as fourteen columns they and the join before them become one generated method,
+    which is too long for the JVM to compile.
+    """
+    q = F.transform(F.array(*real_features(unknown)), quantize)
+    return tx.select(*keep, q.alias("_q")).select(*keep, *[F.get("_q", F.lit(d)).alias(name) for d, name in enumerate(Q)])

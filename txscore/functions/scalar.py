@@ -13,6 +13,10 @@ from txscore import config as C
 Q = [f"q{d}" for d in range(C.DIM)]
 
 
+#: The number before one half: a positive x plus it, rounded down, is x to the nearest, halves up, without round()'s decimals.
+_HALF = 0.49999999999999994
+
+
 def clamp01(x: Column) -> Column:
     """x held to 0..1. NaN, which Spark sorts above all numbers, stays."""
     return F.when(F.isnan(x), x).when(x < 0, 0.0).when(x > 1, 1.0).otherwise(x)
@@ -20,7 +24,7 @@ def clamp01(x: Column) -> Column:
 
 def quantize(x: Column) -> Column:
     """-1..1 to whole ten-thousandths, half away from zero; -1 and less to -10000, the rest up to 0 to 0, NaN to 0."""
-    return F.when(F.isnan(x), 0).when(x <= -1, -C.SCALE).when(x <= 0, 0).when(x >= 1, C.SCALE).otherwise(F.round(x * C.SCALE)).cast("int")
+    return F.when(F.isnan(x), 0).when(x <= -1, -C.SCALE).when(x <= 0, 0).when(x >= 1, C.SCALE).otherwise(F.floor(x * C.SCALE + _HALF)).cast("int")
 
 
 def quantize_clamped(x: Column) -> Column:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,7 +14,7 @@ from txscore.functions.scalar import Q
 from txscore.operators import index, knn
 from txscore.plans.oracles import ORACLES  # noqa: F401
 from txscore.sources.payload import parse_payloads
-from txscore.sources.tables import event_vectors, read, read_references, synthetic_vectors, transactions
+from txscore.sources.tables import event_vectors, read, read_references, shared_path, synthetic_vectors, transactions
 from txscore.streaming.scorer import Scorer
 
 
@@ -24,15 +22,6 @@ def _unknown():
     return F.col("unknown_merchant")
 
 
-def _shared(spark: SparkSession, name: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        root = tempfile.gettempdir()
-    return f"{root.rstrip('/')}/txscore/{name}-{uuid.uuid4().hex}"
-
-
 def _tx(spark, sf_dir) -> DataFrame:
     return transactions(read(spark, sf_dir, "events"))
 
@@ -49,6 +38,14 @@ def _queries(spark, sf_dir) -> DataFrame:
     return _vectors(spark, sf_dir).select(F.col("event_id").alias("query_id"), *Q)
 
 
+def _search_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Queries and references, of vectors that are made once."""
+    path = shared_path(spark, "vectors")
+    _vectors(spark, sf_dir).write.parquet(path)
+    x = spark.read.parquet(path)
+    return x.select(F.col("event_id").alias("query_id"), *Q), x.withColumnRenamed("event_id", "ref_id")
+
+
 def _some(*dims: int) -> list:
     every = features.quantized_features(_unknown())
     return [every[d] for d in dims]
@@ -133,31 +130,31 @@ def l2_distance(spark, sf_dir):
 
 
 def knn_top5(spark, sf_dir):
-    return knn.knn(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True)
+    return knn.knn(*_search_tables(spark, sf_dir), leave_out=True)
 
 
 def knn_vote(spark, sf_dir):
-    return knn.vote(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True).drop("partitions")
+    return knn.vote(*_search_tables(spark, sf_dir), leave_out=True).drop("partitions")
 
 
 def knn_vote_blocks(spark, sf_dir):
-    q = _queries(spark, sf_dir)
-    return knn.votes(q, knn.knn(q, _references(spark, sf_dir), leave_out=True, strategy="blocks"))
+    queries, references = _search_tables(spark, sf_dir)
+    return knn.votes(queries, knn.knn(queries, references, leave_out=True, strategy="blocks"))
 
 
 def knn_approximate(spark, sf_dir):
     """Neighbours that may not be the nearest where five of the own partition are within the early-stop distance."""
-    return knn.knn(_queries(spark, sf_dir), _references(spark, sf_dir), leave_out=True, approximate=True)
+    return knn.knn(*_search_tables(spark, sf_dir), leave_out=True, approximate=True)
 
 
 def index_leaves(spark, sf_dir):
     """Bounds and label masks of the leaves below the partitions."""
-    return index.bounds(index.leaves(_references(spark, sf_dir), _shared(spark, "leaves")), "leaf")
+    return index.bounds(index.leaves(_references(spark, sf_dir), shared_path(spark, "leaves")), "leaf")
 
 
 def probe_stats(spark, sf_dir):
     """How many partitions an exact search must visit: the own one, and those whose boxes the fifth neighbour's distance reaches."""
-    queries, references = _queries(spark, sf_dir), _references(spark, sf_dir)
+    queries, references = _search_tables(spark, sf_dir)
     found = knn.knn(queries, references, leave_out=True).groupBy("query_id").agg(F.max(F.when(F.col("rank") == C.K, F.col("d2"))).alias("d5"), F.sum("label").alias("votes"))
     asked = index.with_key(queries).withColumnRenamed("pk", "own").join(found, "query_id")
     boxes = F.broadcast(index.bounds(index.with_key(references)))  # 256 rows at most
@@ -247,7 +244,7 @@ def score_json(spark, sf_dir):
 
 def reference_json(spark, sf_dir):
     """References written as JSON arrays of records, read back, and summed up by label."""
-    path = _shared(spark, "reference-json")
+    path = shared_path(spark, "reference-json")
     real = F.array(*[F.col(q) / F.lit(float(C.SCALE)) for q in Q])
     label = F.when(F.col("label") == C.FRAUD, "fraud").otherwise("legit")
     records = _references(spark, sf_dir).select(F.floor(F.col("ref_id") / 1_000).alias("file"), F.to_json(F.struct(real.alias("vector"), label.alias("label"))).alias("r"))
@@ -265,7 +262,7 @@ def fraud_response_json(spark, sf_dir):
 
 def stream_score(spark, sf_dir):
     """All events as one available-now stream: vectors in files, searched batch by batch against the references."""
-    source, sink, state = (_shared(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
+    source, sink, state = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
     queries, references = _queries(spark, sf_dir), _references(spark, sf_dir)
     queries.write.parquet(source)
     stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 64).parquet(source)
@@ -290,14 +287,14 @@ def _header(spark, path) -> DataFrame:
 
 def index_counts(spark, sf_dir):
     """Builds an index, opens it with its checks, and reports its header."""
-    path = _shared(spark, "index")
+    path = shared_path(spark, "index")
     index.build_index(_references(spark, sf_dir), path)
     return _header(spark, path)
 
 
 def index_append(spark, sf_dir):
     """Builds an index of two thirds of the references, appends the rest, and returns the partitions' bounds that it has then."""
-    path, references = _shared(spark, "index"), _references(spark, sf_dir)
+    path, references = shared_path(spark, "index"), _references(spark, sf_dir)
     index.build_index(references.where("ref_id % 3 != 0"), path)
     index.append_index(references.where("ref_id % 3 = 0"), path)
     _, partitions, _ = index.open_index(spark, path)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from txscore import config as C
-from txscore.functions.features import quantized_features
+from txscore.functions.features import vectorize
 from txscore.functions.scalar import Q, epoch_minutes, quantize
 
 
@@ -15,6 +18,16 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new folder that the driver and all executors share."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        root = tempfile.gettempdir()
+    return f"{root.rstrip('/')}/txscore/{name}-{uuid.uuid4().hex}"
+
+
 def read_references(spark: SparkSession, path: str) -> DataFrame:
     """Records {"vector": [...], "label": ...} of a JSON array, also gzipped -> ref_id, q0..q13, label.
 
@@ -81,7 +94,7 @@ def transactions(events: DataFrame) -> DataFrame:
 
 def event_vectors(events: DataFrame) -> DataFrame:
     """event_id, q0..q13, label of every event."""
-    return transactions(events).select("event_id", *quantized_features(F.col("unknown_merchant")), "label")
+    return vectorize(transactions(events), ["event_id", "label"], F.col("unknown_merchant")).select("event_id", *Q, "label")
 
 
 def synthetic_vectors(spark: SparkSession, n: int) -> DataFrame:
