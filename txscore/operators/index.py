@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import json
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -13,6 +16,8 @@ from txscore import config as C
 from txscore.functions.scalar import Q, partition_key
 
 VERSION = 1
+#: Vectors whose bounds to all boxes are one matrix.
+_PAIRS = 500
 #: Rows of a table of leaves up to which it is broadcast.
 MOST_BROADCAST = 100_000
 META = "scale int, dim int, version int, points bigint, fraud bigint, partitions bigint, leaf_size int"
@@ -30,6 +35,33 @@ def bounds(vectors: DataFrame, by: str = "pk", columns: list[str] | None = None)
     return vectors.groupBy(by).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1, label)")).cast("int").alias("mask"), *low, *high)
 
 
+def box_bounds(vectors: DataFrame, boxes: DataFrame, key: str = "ref_id") -> DataFrame:
+    """(key, pk, bound): the squared distances of every vector with pk to the boxes of all other keys, 256 at most.
+
+    Whole matrices at once: a row a pair through a join's generated code takes three times as long.
+    """
+    found = boxes.collect()
+    keys = np.array([r.pk for r in found], np.int32)
+    low, high = (np.array([[r[f"{s}{d}"] for r in found] for d in range(C.DIM)], np.float64) for s in "lh")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _PAIRS):
+                batch = whole.slice(at, _PAIRS)
+                bound = np.zeros((batch.num_rows, len(keys)))
+                for d, name in enumerate(Q):
+                    x = batch.column(name).to_numpy(zero_copy_only=False)[:, None]
+                    gap = np.maximum(low[d] - x, x - high[d])
+                    np.fmax(gap, 0, out=gap)
+                    gap *= gap
+                    bound += gap
+                other = batch.column("pk").to_numpy()[:, None] != keys
+                i, j = np.nonzero(other)
+                yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(i)), pa.array(keys[j]), pa.array(bound[other].astype(np.int64))], names=[key, "pk", "bound"])
+
+    return vectors.select(key, "pk", *Q).mapInArrow(run, f"`{key}` long, pk int, bound long")
+
+
 def widest() -> Column:
     """The dimension whose bounds are furthest apart, the first of equals."""
     spans = [F.struct((F.col(f"h{d}") - F.col(f"l{d}")).alias("w"), F.lit(-d).alias("d")) for d in range(C.DIM)]

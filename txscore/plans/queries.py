@@ -106,12 +106,9 @@ def median_split(spark, sf_dir):
 
 
 def box_lower_bound(spark, sf_dir):
-    """Of each event the bounds of all partitions but its own; partitions are 256 at most, so they are broadcast."""
-    x = index.with_key(_vectors(spark, sf_dir)).withColumnRenamed("pk", "own")
-    boxes = index.bounds(index.with_key(_vectors(spark, sf_dir)))
-    joined = x.join(F.broadcast(boxes), F.col("own") != F.col("pk"))
-    low, high = [F.col(f"l{d}") for d in range(C.DIM)], [F.col(f"h{d}") for d in range(C.DIM)]
-    return joined.select("event_id", "pk", scalar.box_bound([F.col(q) for q in Q], low, high).alias("bound"))
+    """Of each event the bounds of all partitions but its own; partitions are 256 at most, so they go to all tasks."""
+    x = index.with_key(_search_tables(spark, sf_dir)[1])
+    return index.box_bounds(x, index.bounds(x)).withColumnRenamed("ref_id", "event_id")
 
 
 def l2_distance(spark, sf_dir):
