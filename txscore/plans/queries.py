@@ -34,10 +34,6 @@ def _references(spark, sf_dir) -> DataFrame:
     return _vectors(spark, sf_dir).withColumnRenamed("event_id", "ref_id")
 
 
-def _queries(spark, sf_dir) -> DataFrame:
-    return _vectors(spark, sf_dir).select(F.col("event_id").alias("query_id"), *Q)
-
-
 def _search_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
     """Queries and references, of vectors that are made once."""
     path = shared_path(spark, "vectors")
@@ -260,17 +256,18 @@ def fraud_response_json(spark, sf_dir):
 def stream_score(spark, sf_dir):
     """All events as one available-now stream: vectors in files, searched batch by batch against the references."""
     source, sink, state = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
-    queries, references = _queries(spark, sf_dir), _references(spark, sf_dir)
+    queries, references = _search_tables(spark, sf_dir)
     queries.write.parquet(source)
     stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 64).parquet(source)
     if knn.few(references, Q):
         sent = spark.sparkContext.broadcast(knn.collect_references(index.with_key(references), Q))
         answers = knn.vote(stream, references, leave_out=True, sent=sent).drop("partitions").writeStream.format("parquet").option("path", sink)
     else:
+        cells = knn.Cells(index.with_key(references), Q, C.K, knn.BLOCK_ROWS)
 
         def answer(batch: DataFrame, number: int) -> None:
             # a batch that is done again writes its own folder again
-            knn.vote(batch, references, leave_out=True).drop("partitions").write.mode("overwrite").parquet(f"{sink}/batch={number}")
+            knn.vote(batch, references, leave_out=True, cells=cells).drop("partitions").write.mode("overwrite").parquet(f"{sink}/batch={number}")
 
         answers = stream.writeStream.foreachBatch(answer)
     answers.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
