@@ -35,26 +35,53 @@ def bounds(vectors: DataFrame, by: str = "pk", columns: list[str] | None = None)
     return vectors.groupBy(by).agg(F.count("*").alias("n"), F.bit_or(F.expr("shiftleft(1, label)")).cast("int").alias("mask"), *low, *high)
 
 
+def _arrays(boxes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys of boxes, and their bounds with a row a dimension."""
+    found = boxes.collect()
+    low, high = (np.array([[r[f"{s}{d}"] for r in found] for d in range(C.DIM)], np.float64) for s in "lh")
+    return np.array([r.pk for r in found], np.int32), low, high
+
+
+def _to_boxes(batch: pa.RecordBatch, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    """Squared distances of a batch's vectors to boxes."""
+    bound = np.zeros((batch.num_rows, low.shape[1]))
+    for d, name in enumerate(Q):
+        x = batch.column(name).to_numpy(zero_copy_only=False)[:, None]
+        gap = np.maximum(low[d] - x, x - high[d])
+        np.fmax(gap, 0, out=gap)
+        gap *= gap
+        bound += gap
+    return bound
+
+
+def boxes_within(vectors: DataFrame, boxes: DataFrame, radius: str, keep: list[str]) -> DataFrame:
+    """keep (of vectors), and partitions_visited: how many boxes are of a vector's own pk or within its squared radius; null reaches none."""
+    keys, low, high = _arrays(boxes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, _PAIRS):
+                batch = whole.slice(at, _PAIRS)
+                limit = batch.column(radius).to_numpy(zero_copy_only=False).astype(np.float64)
+                near = (_to_boxes(batch, low, high) <= limit[:, None]) | (batch.column("pk").to_numpy()[:, None] == keys)
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in keep], pa.array(near.sum(1).astype(np.int64))], names=[*keep, "partitions_visited"])
+
+    types = dict(vectors.dtypes)
+    return vectors.select(*keep, radius, "pk", *Q).mapInArrow(run, ", ".join([*[f"`{c}` {types[c]}" for c in keep], "partitions_visited long"]))
+
+
 def box_bounds(vectors: DataFrame, boxes: DataFrame, key: str = "ref_id") -> DataFrame:
     """(key, pk, bound): the squared distances of every vector with pk to the boxes of all other keys, 256 at most.
 
     Whole matrices at once: a row a pair through a join's generated code takes three times as long.
     """
-    found = boxes.collect()
-    keys = np.array([r.pk for r in found], np.int32)
-    low, high = (np.array([[r[f"{s}{d}"] for r in found] for d in range(C.DIM)], np.float64) for s in "lh")
+    keys, low, high = _arrays(boxes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for at in range(0, whole.num_rows, _PAIRS):
                 batch = whole.slice(at, _PAIRS)
-                bound = np.zeros((batch.num_rows, len(keys)))
-                for d, name in enumerate(Q):
-                    x = batch.column(name).to_numpy(zero_copy_only=False)[:, None]
-                    gap = np.maximum(low[d] - x, x - high[d])
-                    np.fmax(gap, 0, out=gap)
-                    gap *= gap
-                    bound += gap
+                bound = _to_boxes(batch, low, high)
                 other = batch.column("pk").to_numpy()[:, None] != keys
                 i, j = np.nonzero(other)
                 yield pa.RecordBatch.from_arrays([batch.column(key).take(pa.array(i)), pa.array(keys[j]), pa.array(bound[other].astype(np.int64))], names=[key, "pk", "bound"])

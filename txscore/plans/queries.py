@@ -142,18 +142,15 @@ def knn_approximate(spark, sf_dir):
 
 def index_leaves(spark, sf_dir):
     """Bounds and label masks of the leaves below the partitions."""
-    return index.bounds(index.leaves(_references(spark, sf_dir), shared_path(spark, "leaves")), "leaf")
+    return index.bounds(index.leaves(_search_tables(spark, sf_dir)[1], shared_path(spark, "leaves")), "leaf")
 
 
 def probe_stats(spark, sf_dir):
     """How many partitions an exact search must visit: the own one, and those whose boxes the fifth neighbour's distance reaches."""
     queries, references = _search_tables(spark, sf_dir)
     found = knn.knn(queries, references, leave_out=True).groupBy("query_id").agg(F.max(F.when(F.col("rank") == C.K, F.col("d2"))).alias("d5"), F.sum("label").alias("votes"))
-    asked = index.with_key(queries).withColumnRenamed("pk", "own").join(found, "query_id")
-    boxes = F.broadcast(index.bounds(index.with_key(references)))  # 256 rows at most
-    low, high = [F.col(f"l{d}") for d in range(C.DIM)], [F.col(f"h{d}") for d in range(C.DIM)]
-    reached = asked.join(boxes, (F.col("own") == F.col("pk")) | (scalar.box_bound([F.col(q) for q in Q], low, high) <= F.col("d5")))
-    each = reached.groupBy("query_id", "votes").agg(F.count("*").alias("partitions_visited"))
+    asked = index.with_key(queries).join(found, "query_id")
+    each = index.boxes_within(asked, index.bounds(index.with_key(references)), "d5", ["votes"]).where("partitions_visited > 0")
     return each.groupBy("partitions_visited").agg(F.count("*").alias("queries"), F.sum("votes").cast("long").alias("votes"))
 
 
