@@ -127,7 +127,7 @@ def knn_top5(spark, sf_dir):
 
 
 def knn_vote(spark, sf_dir):
-    return knn.vote(*_search_tables(spark, sf_dir), leave_out=True).drop("partitions")
+    return knn.vote(None, _search_tables(spark, sf_dir)[1], leave_out=True, stored=True).drop("partitions")
 
 
 def knn_vote_blocks(spark, sf_dir):
