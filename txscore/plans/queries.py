@@ -123,7 +123,7 @@ def l2_distance(spark, sf_dir):
 
 
 def knn_top5(spark, sf_dir):
-    return knn.knn(*_search_tables(spark, sf_dir), leave_out=True)
+    return knn.knn(None, _search_tables(spark, sf_dir)[1], leave_out=True, stored=True)
 
 
 def knn_vote(spark, sf_dir):
