@@ -137,7 +137,7 @@ def knn_vote_blocks(spark, sf_dir):
 
 def knn_approximate(spark, sf_dir):
     """Neighbours that may not be the nearest where five of the own partition are within the early-stop distance."""
-    return knn.knn(*_search_tables(spark, sf_dir), leave_out=True, approximate=True)
+    return knn.knn(None, _search_tables(spark, sf_dir)[1], leave_out=True, approximate=True, stored=True)
 
 
 def index_leaves(spark, sf_dir):
