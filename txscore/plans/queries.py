@@ -34,11 +34,15 @@ def _references(spark, sf_dir) -> DataFrame:
     return _vectors(spark, sf_dir).withColumnRenamed("event_id", "ref_id")
 
 
-def _search_tables(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """Queries and references, of vectors that are made once."""
+def _stored_vectors(spark, sf_dir) -> str:
     path = shared_path(spark, "vectors")
     _vectors(spark, sf_dir).write.parquet(path)
-    x = spark.read.parquet(path)
+    return path
+
+
+def _search_tables(spark, sf_dir, path: str = "") -> tuple[DataFrame, DataFrame]:
+    """Queries and references, of vectors that are made once. path: where they have been stored before."""
+    x = spark.read.parquet(path or _stored_vectors(spark, sf_dir))
     return x.select(F.col("event_id").alias("query_id"), *Q), x.withColumnRenamed("event_id", "ref_id")
 
 
@@ -252,15 +256,16 @@ def fraud_response_json(spark, sf_dir):
 
 def stream_score(spark, sf_dir):
     """All events as one available-now stream: vectors in files, searched batch by batch against the references."""
-    source, sink, state = (shared_path(spark, n) for n in ("stream-in", "stream-out", "stream-state"))
-    queries, references = _search_tables(spark, sf_dir)
-    queries.write.parquet(source)
-    stream = spark.readStream.schema(queries.schema).option("maxFilesPerTrigger", 64).parquet(source)
+    sink, state = (shared_path(spark, n) for n in ("stream-out", "stream-state"))
+    source = _stored_vectors(spark, sf_dir)
+    references = _search_tables(spark, sf_dir, source)[1]
+    files = spark.readStream.schema(spark.read.parquet(source).schema).option("maxFilesPerTrigger", 64).parquet(source)
+    stream = files.select(F.col("event_id").alias("query_id"), *Q)
     if knn.few(references, Q):
         sent = spark.sparkContext.broadcast(knn.collect_references(index.with_key(references), Q))
         answers = knn.vote(stream, references, leave_out=True, sent=sent).drop("partitions").writeStream.format("parquet").option("path", sink)
     else:
-        cells = knn.Cells(index.with_key(references), Q, C.K, knn.BLOCK_ROWS)
+        cells = knn.Cells(index.with_key(references), Q, C.K, knn.BLOCK_ROWS, stored=True)
 
         def answer(batch: DataFrame, number: int) -> None:
             # a batch that is done again writes its own folder again
